@@ -1,6 +1,6 @@
 """Queries of the text problems, over whole tables and whole texts."""
 
-from cadastra.llm import copies, packing, tokens
+from cadastra.llm import copies, packing, tokens, truncation
 from cadastra.sources import table
 
 _ITEM = ("id", ["principal", "kind"], ["title", "artist", "album"], ["album_key"])
@@ -30,7 +30,15 @@ def p7_report(spark, d):
     return packing.fill_report(p7_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p6_ids, p6_decoded, p7_containers, p7_report)}
+def p8_found(spark, d):
+    return truncation.cut_texts(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_report(spark, d):
+    return truncation.cut_report(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p6_ids, p6_decoded, p7_containers, p7_report, p8_found, p8_report)}
 
 _P3 = r"""
 WITH items AS (SELECT DISTINCT id, principal, kind, title, artist, album, album_key FROM collection_items),
