@@ -1,6 +1,6 @@
 """Queries of the text problems, over whole tables and whole texts."""
 
-from cadastra.llm import copies, packing, tokens, truncation
+from cadastra.llm import copies, glyphs, packing, tokens, truncation
 from cadastra.sources import table
 
 _ITEM = ("id", ["principal", "kind"], ["title", "artist", "album"], ["album_key"])
@@ -14,6 +14,14 @@ def p3_records(spark, d):
     return copies.collapsed(table(spark, d, "collection_items"), *_ITEM)
 
 
+def p4_found(spark, d):
+    return p4_forms(spark, d).select("src_table", "src_field", "row_key").distinct()
+
+
+def p4_forms(spark, d):
+    return glyphs.affected_rows(glyphs.field_values(table(spark, d, "collection_items"), table(spark, d, "catalog_track_artists")))
+
+
 def p6_ids(spark, d):
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -38,7 +46,7 @@ def p8_report(spark, d):
     return truncation.cut_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p6_ids, p6_decoded, p7_containers, p7_report, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p4_forms, p6_ids, p6_decoded, p7_containers, p7_report, p8_found, p8_report)}
 
 _P3 = r"""
 WITH items AS (SELECT DISTINCT id, principal, kind, title, artist, album, album_key FROM collection_items),

@@ -26,7 +26,7 @@ _START = 0x9E3779B97F4A7C15
 def _tokeniser():
     import regex
 
-    ignorable = regex.compile(r"[­͏​-‏‪-‮⁠﻿]")
+    ignorable = regex.compile(r"[\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
     token = regex.compile(
         r"(?<![\p{L}\p{N}])(?![0-9]+[a-z]+(?![0-9a-z]))(?=[0-9a-z]*[0-9])(?=[0-9a-z]*[a-z])[0-9a-z]{2,}(?![\p{L}\p{N}])"
         r"|[0-9]+|(?:(?![0-9])[\p{L}\p{M}\p{N}])+|\n|[^\s]"
@@ -121,7 +121,7 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
                 marks = [(_START, _START)] * 3 + [hashes(t) for t in found[-4:]]
                 pairs = np.array(marks, np.uint64)
                 keys = _contexts(pairs[:, 0], pairs[:, 1], np.array([len(pairs) - 1]))[:, 0].astype(np.int64).tolist()
-                if stripped.endswith("�"):
+                if stripped.endswith("\ufffd"):
                     kind = "broken"
                 elif stripped[0] in "{[":
                     kind = "open structure" if _open_structure(stripped) else "closed structure"
