@@ -4,8 +4,10 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from cadastra.session import checkpointed
 
 #: Default place of the vocabulary; a parameter of every operator here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The most frequent words, at most so many and each of at most so many bytes, are joined by broadcast: at most
+#: The most frequent words, at most so many and each of at most so many bytes, are sent to all tasks: at most
 #: FREQUENT * (FREQUENT_BYTES * 5) bytes, about 20 MB. No other word is more than 1/FREQUENT of all words, unless it is
 #: longer than FREQUENT_BYTES.
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
@@ -58,12 +60,6 @@ def pre_tokens(text: Column) -> Column:
     return F.when(unknown, split(F.when(unknown, text))).otherwise(words)
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """__doc, __text (hash), __pos, word: every word of every document; one row with a NULL word for no words."""
-    chosen = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__text"), pre_tokens(F.col(text)).alias("__words"))
-    return chosen.select("__doc", "__text", F.posexplode_outer("__words").alias("__pos", "word"))
-
-
 def dictionary(words: DataFrame, ranks: bytes) -> DataFrame:
     """word, n, ids: every distinct word of the corpus once, with its number of occurrences and its token ids.
 
@@ -76,35 +72,99 @@ def dictionary(words: DataFrame, ranks: bytes) -> DataFrame:
             ids = [piece(w.encode()) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    counts = words.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
     return counts.mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
+def look_up(docs: DataFrame, common: list[tuple[str, list[int]]]) -> DataFrame:
+    """Documents (__doc, __text, __words) as __doc, __text, ids, missing: the ids of their common words in place.
+
+    A word that is not common leaves a negative id, -1 for the first of the document, -2 for the second, ..., and stands
+    in `missing` (in that order). Words are looked up a batch at a time by Arrow's hash table.
+    """
+    kind = docs.schema["__doc"].dataType.simpleString()
+    words, ids = [w for w, _ in common], [i for _, i in common]
+    shared = docs.sparkSession.sparkContext.broadcast((words, ids))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = shared.value
+        table, flat = pa.array(words, pa.string()), np.array([i for each in ids for i in each], np.int32)
+        sizes = np.array([len(each) for each in ids] + [1], np.int64)  # one id in the place of a missing word
+        starts = np.cumsum(sizes) - sizes
+        for batch in batches:
+            lists = batch.column(2)
+            offsets, every = lists.offsets.to_numpy(), lists.flatten()
+            offsets = offsets - offsets[0]
+            at = pc.fill_null(pc.index_in(every, value_set=table), len(words)).to_numpy().astype(np.int64)
+            missing, n = at == len(words), sizes[at]
+            begin = np.cumsum(n) - n
+            out = np.empty(int(n.sum()), np.int32)
+            within = np.arange(len(out)) - np.repeat(begin, n)
+            source = np.repeat(starts[at], n) + within
+            out[:] = np.append(flat, 0)[source]
+            before = np.cumsum(missing) - missing  # missing words so far, over the batch
+            first = np.append(before, missing.sum())[offsets]
+            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            out[begin[missing]] = (-1 - (before - first[owner]))[missing]
+            ends = np.append(begin, len(out))[offsets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out)),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), every.filter(pa.array(missing))),
+                ],
+                names=["__doc", "__text", "ids", "missing"],
+            )
+
+    return docs.mapInArrow(fill, f"__doc {kind}, __text bigint, ids array<int>, missing array<string>")
+
+
+def put_in(open_: DataFrame) -> DataFrame:
+    """__doc, ids: of __doc, ids (with negative ids), found (array of at, ids) the ids with the found ones in place."""
+    kind = open_.schema["__doc"].dataType.simpleString()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, found in zip(batch.column(1), batch.column(2).to_pylist()):
+                ids, by_place = ids.values.to_numpy(zero_copy_only=False), {f["at"]: f["ids"] for f in found}
+                holes = np.flatnonzero(ids < 0)
+                parts, last = [], 0
+                for k, hole in enumerate(holes):
+                    parts += [ids[last:hole], np.array(by_place[k], np.int32)]
+                    last = hole + 1
+                out.append(np.concatenate([*parts, ids[last:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["__doc", "ids"])
+
+    return open_.select("__doc", "ids", "found").mapInArrow(fill, f"__doc {kind}, ids array<int>")
+
+
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = RANKS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, ids (array<int>): the token ids of every text, without special tokens.
 
-    An empty and a NULL text both give an empty list; strings that look like special tokens are ordinary text. Rows
-    repeated with the same id and text come out once; an id with several texts once for each. Extra columns of `docs`
-    are not touched.
+    An empty and a NULL text both give an empty list; strings that look like special tokens are ordinary text. Every row
+    of `docs` gives a row, rows repeated too; ids of documents may be NULL. Extra columns are not touched.
 
-    The words of all documents are exploded with their positions; each distinct word is encoded once; the ids are joined
-    back; documents are put together by position. A word may be a large part of all words, so the most frequent ones
-    (see FREQUENT) are joined by broadcast without shuffling their occurrences, the others by their hash. The
-    dictionary is kept in the checkpoint folder. A document's words are grouped in one task; they come from one row.
+    The words of all documents are exploded and counted, each distinct word is encoded once, and the ids are joined back
+    by position. A word may be a large part of all words, so the most frequent ones (see FREQUENT) are sent to the
+    documents; only the occurrences of the others are exploded with their positions, shuffled to their ids, and
+    put in their places again by document. The dictionary is kept in the checkpoint folder.
     """
     ranks = read_ranks(path)
-    words = occurrences(docs, doc_id, text)
-    known = checkpointed(dictionary(words, ranks))
-    common = known.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids")
-    common = checkpointed(common)
-    rest = known.join(F.broadcast(common.select("word")), "word", "left_anti").select("word", "ids")
-    near = words.join(F.broadcast(common), "word", "left").where("ids is not null or word is null")
-    far = words.where("word is not null").join(F.broadcast(common.select("word")), "word", "left_anti").join(rest, "word")
-    parts = near.select("__doc", "__text", "__pos", "ids").unionByName(far.select("__doc", "__text", "__pos", "ids"))
-    whole = parts.groupBy("__doc", "__text").agg(F.array_sort(F.collect_list(F.struct("__pos", "ids"))).alias("__all"))
-    once = F.filter("__all", lambda x, i: (i == 0) | (x["__pos"] != F.element_at("__all", F.greatest(i, F.lit(1)))["__pos"]))
-    ids = F.flatten(F.transform(once, lambda x: F.coalesce(x["ids"], F.array().cast("array<int>"))))
-    return whole.select(F.col("__doc").alias(doc_id), ids.alias("ids"))
+    words = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__text"), F.coalesce(pre_tokens(F.col(text)), F.array().cast("array<string>")).alias("__words"))
+    known = checkpointed(dictionary(words.select(F.explode("__words").alias("word")), ranks))
+    top = known.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").collect()
+    common = [(r["word"], r["ids"]) for r in top]
+    partly = checkpointed(look_up(words, common))
+    done = partly.where(F.size("missing") == 0).select("__doc", "ids")
+
+    open_ = partly.where(F.size("missing") > 0)
+    places = open_.select("__doc", "__text", F.posexplode("missing").alias("at", "word"))
+    ids = places.join(known.select("word", "ids"), "word").groupBy("__doc", "__text").agg(F.collect_set(F.struct("at", "ids")).alias("found"))
+    ids = ids.withColumnsRenamed({"__doc": "__doc2", "__text": "__text2"})
+    both = open_.join(ids, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__text") == F.col("__text2")))
+    return done.unionByName(put_in(both)).select(F.col("__doc").alias(doc_id), "ids")
 
 
 def token_bytes(spark: SparkSession, path: str = RANKS) -> DataFrame:
