@@ -17,27 +17,56 @@ SUPPORT = 8
 RARE = 100
 #: A field limit is reached by so many texts, so many times the usual number of texts of one length.
 LIMIT_TEXTS, LIMIT_PEAK = 5, 8
-#: Characters of texts that are tokenised at a time; bounds memory, not texts.
-_CHUNK = 2_000_000
+#: Tokens that are counted at a time; bounds memory, not texts.
+_CHUNK = 1_000_000
 _TERMINAL, _CLOSING = ".!?。！？…｡", "\"”»)]}」』’'"
 _START = 0x9E3779B97F4A7C15
 
 
-def _tokeniser():
-    import regex
+#: White space, and characters without width, for Java's regular expressions.
+_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_IGNORABLE = r"[\x{ad}\x{34f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]"
+#: Runs of letters, marks and digits; line ends; single other characters.
+_RUN = rf"[\p{{L}}\p{{M}}\p{{N}}]+|\n|[^{_WS}]"
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters from the end of a text in which its last tokens are sought before the whole text is.
+_TAIL = 1000
 
-    ignorable = regex.compile(r"[\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
-    token = regex.compile(
-        r"(?<![\p{L}\p{N}])(?![0-9]+[a-z]+(?![0-9a-z]))(?=[0-9a-z]*[0-9])(?=[0-9a-z]*[a-z])[0-9a-z]{2,}(?![\p{L}\p{N}])"
-        r"|[0-9]+|(?:(?![0-9])[\p{L}\p{M}\p{N}])+|\n|[^\s]"
-    )
 
-    def tokens(text: str) -> list[str]:
-        """Words, digit runs (as 0), mixed codes (as 0x), line ends and single other characters."""
-        out = token.findall(ignorable.sub("", text).rstrip())
-        return [x if not ("0" <= x[0] <= "9" or x.isascii() and any("0" <= c <= "9" for c in x)) else "0" if x.isdigit() else "0x" for x in out]
+def runs(text: Column) -> Column:
+    """A text cut into runs (see _RUN), from which spelt() makes tokens; NULL for NULL."""
+    return F.regexp_extract_all(F.rtrim(F.regexp_replace(text, _IGNORABLE, ""), F.lit(_SPACES)), F.lit(_RUN), F.lit(0))
+
+
+def last_runs(text: Column) -> Column:
+    """The last runs of a text, at least 20 or all.
+
+    Taken from the end after a space where that gives so many, since a space parts runs; else from the whole text.
+    """
+    tail = F.regexp_replace(F.right(text, F.lit(_TAIL)), rf"^[^{_WS}]*", "")
+    near = F.when(F.char_length(text) > 2 * _TAIL, runs(tail))
+    return F.when(F.size(near) >= 20, near).otherwise(runs(text))
+
 
-    return tokens
+def spelt(run: str) -> list[str]:
+    """Tokens of a run: digits as 0, codes of digits and small letters as 0x, letters as they are.
+
+    Digits with a unit (20ms) are two tokens; letters and digits of other scripts are parted at the digits.
+    """
+    if not any("0" <= c <= "9" for c in run):
+        return [run]
+    if run.isdigit():
+        return ["0"] if run.isascii() else [run]
+    if run.isascii() and run.islower() and not run.lstrip("0123456789").isalpha():
+        return ["0x"]
+    out = []
+    for c in run:
+        kind = "0" <= c <= "9"
+        if not kind and out and out[-1] != "0":
+            out[-1] += c
+        elif not kind or not out or out[-1] != "0":
+            out.append("0" if kind else c)
+    return out
 
 
 def _class(word: str) -> str:
@@ -49,21 +78,12 @@ def _class(word: str) -> str:
     return "J" if ord(first) > 0x2E80 else "A" if first.isupper() else "a"
 
 
-class _Hashes:
-    """64-bit hashes of tokens and of their classes, remembered up to a bound."""
-
-    def __init__(self) -> None:
-        import xxhash
-
-        self.digest, self.known = xxhash.xxh64_intdigest, {}
+def _hashed(words: list[str]) -> np.ndarray:
+    """Rows of 64-bit hashes of words and of their classes."""
+    import xxhash
 
-    def __call__(self, word: str) -> tuple[int, int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[word] = (self.digest(word), self.digest("class " + _class(word)))
-        return found
+    digest = xxhash.xxh64_intdigest
+    return np.array([(digest(w), digest("class " + _class(w))) for w in words], np.uint64).reshape(-1, 2)
 
 
 def _contexts(words: np.ndarray, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,17 +129,15 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        tokens, hashes = _tokeniser(), _Hashes()
         for batch in batches:
             rows = []
-            for value in batch.column(2).to_pylist():
-                found = tokens(value or "")
+            for value, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if not found:
                     rows.append((None, len(value or ""), 0, 0, None, None, None))
                     continue
+                found = [t for run in found for t in spelt(run)]
                 raw, stripped, last = value.encode(), value.strip(), found[-1]
-                marks = [(_START, _START)] * 3 + [hashes(t) for t in found[-4:]]
-                pairs = np.array(marks, np.uint64)
+                pairs = np.concatenate([np.full((3, 2), _START, np.uint64), _hashed(found[-4:])])
                 keys = _contexts(pairs[:, 0], pairs[:, 1], np.array([len(pairs) - 1]))[:, 0].astype(np.int64).tolist()
                 if stripped.endswith("\ufffd"):
                     kind = "broken"
@@ -139,7 +157,7 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
                 names=["doc", "source", "text_key", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts"],
             )
 
-    return docs.select(doc_id, source, text).mapInArrow(describe, schema)
+    return docs.select(doc_id, source, text, last_runs(F.col(text)).alias("__runs")).mapInArrow(describe, schema)
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -150,47 +168,53 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, hashes = _tokeniser(), _Hashes()
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            while texts:
-                chunk, size = [], 0
-                while texts and (not chunk or size < _CHUNK):
-                    chunk.append(texts.pop())
-                    size += len(chunk[-1])
-                yield from _counted([found for t in chunk if (found := tokens(t))], hashes)
-
-    parts = docs.select(text).mapInArrow(count, "word string, key bigint, n bigint, n_stop bigint, n_end bigint")
+            lists = batch.column(0)
+            at, rows = lists.offsets.to_numpy(), len(lists)
+            first = 0
+            while first < rows:  # as many texts as have _CHUNK tokens together, one at least
+                after = max(first + 1, int(np.searchsorted(at, at[first] + _CHUNK, side="right")) - 1)
+                yield from _counted(lists.slice(first, after - first))
+                first = after
+
+    cut = docs.where(F.col(text).isNotNull()).select(runs(F.col(text)).alias("runs")).where(F.size("runs") > 0)
+    parts = cut.mapInArrow(count, "word string, key bigint, n bigint, n_stop bigint, n_end bigint")
     return parts.groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_end")])
 
 
-def _counted(texts: list[list[str]], hashes: _Hashes) -> Iterator[pa.RecordBatch]:
-    if not texts:
-        return
+def _counted(texts: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """Counts of the words and contexts of some texts, none of them without tokens."""
     names = ["word", "key", "n", "n_stop", "n_end"]
-    words: dict[str, int] = {}
-    pairs, at, end, line = [], [], [], hashes("\n")[0]
-    for found in texts:
-        pairs += [(_START, _START)] * 3
-        at += range(len(pairs), len(pairs) + len(found))
-        pairs += map(hashes, found)
-        end.append(len(pairs) - 1)
-        for w in found[:-1]:
-            words[w] = words.get(w, 0) + 1
-    flat, at = np.array(pairs, np.uint64), np.array(at)
-    ends = np.zeros(len(flat), bool)
-    ends[end] = True
-    stops = ends.copy()
-    stops[:-1] |= flat[1:, 0] == np.uint64(line)
+    sizes = np.diff(texts.offsets.to_numpy())
+    coded = texts.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    parts = [[number.setdefault(t, len(number)) for t in spelt(run)] for run in coded.dictionary.to_pylist()]
+    words, runs_ = list(number), coded.indices.to_numpy()
+    # every run becomes its tokens
+    flat_parts, n_parts = np.array([c for each in parts for c in each], np.int64), np.array([len(each) for each in parts])
+    n = n_parts[runs_]
+    begin = np.cumsum(n) - n
+    codes = flat_parts[np.repeat((np.cumsum(n_parts) - n_parts)[runs_] - begin, n) + np.arange(int(n.sum()))]
+    sizes = np.add.reduceat(n, np.cumsum(sizes) - sizes)
+
+    # three start marks before every text
+    at = np.arange(len(codes)) + 3 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    flat = np.full((len(codes) + 3 * len(sizes), 2), _START, np.uint64)
+    flat[at] = _hashed(words)[codes]
+    end = np.zeros(len(codes), bool)
+    end[np.cumsum(sizes) - 1] = True
+    stop = end.copy()
+    stop[:-1] |= (codes[1:] == number.get("\n", -1)) & ~end[:-1]
     for keys in _contexts(flat[:, 0], flat[:, 1], at):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         n = np.diff(np.r_[first, len(ordered)])
-        n_stop, n_end = (np.add.reduceat(flags[at][order].astype(np.int64), first) for flags in (stops, ends))
+        n_stop, n_end = (np.add.reduceat(flags[order].astype(np.int64), first) for flags in (stop, end))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.string()), pa.array(ordered[first].astype(np.int64)), pa.array(n), pa.array(n_stop), pa.array(n_end)], names=names)
+    inner = np.bincount(codes[~end], minlength=len(words))
     zero = pa.array(np.zeros(len(words), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64()), zero, zero], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(words), pa.int64()), pa.array(inner.astype(np.int64)), zero, zero], names=names)
 
 
 def prefix_lookup(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -301,7 +325,9 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     evidence: `character` (ends in a broken character), `structure` (brackets or strings stay open), `word` (the last
     word is unknown and a proper prefix of known words), `limit` (the length is its source's field limit and the end is
     open), `sentence` (its last words are elsewhere nearly always followed by more). Only ends without final punctuation
-    are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is complete. NULL, empty and
+    are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is complete. Copies
+    of a text say nothing about it, but a text of at most 12 tokens that came five times or more is a phrase of its own
+    and does. NULL, empty and
     blank texts are not cut. Every row is judged, rows repeated too; NULL sources are one source.
 
     Whole texts are read twice: for their ends and for the counts of words and contexts over all texts. Then only short
