@@ -44,8 +44,9 @@ def apply_changes(changes: DataFrame, fields: list[str], scope: list[str] = ("ca
     with one seq: the one that makes counts as the later, then the larger field values.
     """
     if merge:
-        barrier = "coalesce(max(CASE WHEN __made = 0 OR __by = 'rekey' THEN struct(seq, __made) END), struct(CAST(NULL AS BIGINT), 0))"
-        last = [f"CASE WHEN coalesce(max(CASE WHEN {f} IS NOT NULL THEN struct(seq, __made) END) >= {barrier}, true) THEN max_by({f}, struct(seq, {f})) FILTER (WHERE {f} IS NOT NULL AND __made = 1) END AS {f}" for f in fields]
+        barrier = "max(CASE WHEN __made = 0 OR __by = 'rekey' THEN struct(seq, __made) END)"
+        setter = "max(CASE WHEN {f} IS NOT NULL THEN struct(seq, __made) END)"
+        last = [f"CASE WHEN {barrier} IS NULL OR {setter.format(f=f)} >= {barrier} THEN max_by({f}, struct(seq, {f})) FILTER (WHERE {f} IS NOT NULL AND __made = 1) END AS {f}" for f in fields]
     else:
         last = [f"max_by({f}, struct(seq, __made, {f})) FILTER (WHERE __made = 1) AS {f}" for f in fields]
     keep = [*fields, "operation AS __by"]

@@ -39,6 +39,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` in at least as many partitions as the cluster has cores.
+
+    Tables of enough files stay as they are; the rows of a few unsplittable ones are shuffled by the hash of `by`, so that
+    costly work on each row does not run in a task or two.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
