@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.session import checkpointed, salted_join
+from cadastra.session import checkpointed, salted_join, spread
 
 #: Contexts of a token, from the most to the least specific: the words before it with its class, or with itself.
 LEVELS = 5
@@ -79,11 +79,11 @@ def _class(word: str) -> str:
 
 
 def _hashed(words: list[str]) -> np.ndarray:
-    """Rows of 64-bit hashes of words and of their classes."""
+    """Rows of 64-bit hashes of words and of their classes; start marks for None."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    return np.array([(digest(w), digest("class " + _class(w))) for w in words], np.uint64).reshape(-1, 2)
+    return np.array([(_START, _START) if w is None else (digest(w), digest("class " + _class(w))) for w in words], np.uint64).reshape(-1, 2)
 
 
 def _contexts(words: np.ndarray, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -130,15 +130,14 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         import xxhash
 
         for batch in batches:
-            rows = []
+            rows, number, ends = [], {}, []  # numbers of distinct tokens; those of the last four of every text
             for value, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if not found:
-                    rows.append((None, len(value or ""), 0, 0, None, None, None))
+                    rows.append((None, len(value or ""), 0, 0, None, None))
                     continue
                 found = [t for run in found for t in spelt(run)]
                 raw, stripped, last = value.encode(), value.strip(), found[-1]
-                pairs = np.concatenate([np.full((3, 2), _START, np.uint64), _hashed(found[-4:])])
-                keys = _contexts(pairs[:, 0], pairs[:, 1], np.array([len(pairs) - 1]))[:, 0].astype(np.int64).tolist()
+                ends += [number.setdefault(t, len(number)) for t in [None, None, None, *found][-4:]]
                 if stripped.endswith("\ufffd"):
                     kind = "broken"
                 elif stripped[0] in "{[":
@@ -149,11 +148,15 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
                     kind = "terminal"
                 else:
                     kind = "word" if last[0].isalpha() else "other"
-                rows.append((f"{xxhash.xxh64_hexdigest(raw)}-{len(raw)}", len(value), len(raw), len(found), last, kind, keys))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+                rows.append((f"{xxhash.xxh64_hexdigest(raw)}-{len(raw)}", len(value), len(raw), len(found), last, kind))
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            flat = _hashed(list(number))[np.array(ends, np.int64)]
+            keys = _contexts(flat[:, 0], flat[:, 1], np.arange(3, len(flat), 4)).T.astype(np.int64)
+            sizes = [LEVELS * (r[0] is not None) for r in rows]
+            contexts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds)), contexts],
                 names=["doc", "source", "text_key", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts"],
             )
 
@@ -334,6 +337,7 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     rows are shuffled: distinct contexts meet their counts once, and texts that share a context or are copies of each
     other (a third may be) are joined to it with salts.
     """
+    docs = spread(docs.select(doc_id, text, source), doc_id)
     ends = checkpointed(endings(docs, doc_id, text, source))
     counts = checkpointed(corpus_counts(docs, text))
     texts = ends.where("last is not null").groupBy("text_key", "source", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts").agg(F.count("*").alias("copies"))
