@@ -98,7 +98,7 @@ def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
     parts = hashes.mapInArrow(fill, "segment int, once binary, again binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(fold, "segment int, again binary")
     out = bytearray(bits // 8)
-    for k, again in merged.toLocalIterator():
+    for k, again in merged.collect():
         out[k * size : (k + 1) * size] = again
     return bytes(out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.tokens import RANKS, encoder, read_ranks
-from cadastra.session import checkpointed, shuffle_partitions
+from cadastra.session import checkpointed, shuffle_partitions, spread
 
 CAPACITY = 2048
 
@@ -87,7 +87,7 @@ def slack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def token_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens of every text that is neither NULL nor empty; no shuffle. Whole texts are encoded."""
+    """doc_id, n_tokens of every text that is neither NULL nor empty. Whole texts are encoded."""
     ranks, kind = read_ranks(path), docs.schema[doc_id].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def token_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             sizes = [len(encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[doc_id, "n_tokens"])
 
-    return docs.select(doc_id, text).where(f"{text} is not null and {text} <> ''").mapInArrow(count, f"{doc_id} {kind}, n_tokens bigint")
+    return spread(docs.select(doc_id, text), doc_id).where(f"{text} is not null and {text} <> ''").mapInArrow(count, f"{doc_id} {kind}, n_tokens bigint")
 
 
 def pack(sizes: DataFrame, item_id: str, size: str, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.session import checkpointed
+from cadastra.session import checkpointed, spread
 
 #: Default place of the vocabulary; a parameter of every operator here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -152,7 +152,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     put in their places again by document. The dictionary is kept in the checkpoint folder.
     """
     ranks = read_ranks(path)
-    words = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__text"), F.coalesce(pre_tokens(F.col(text)), F.array().cast("array<string>")).alias("__words"))
+    words = spread(docs.select(doc_id, text), doc_id).select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__text"), F.coalesce(pre_tokens(F.col(text)), F.array().cast("array<string>")).alias("__words"))
     known = checkpointed(dictionary(words.select(F.explode("__words").alias("word")), ranks))
     top = known.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").collect()
     common = [(r["word"], r["ids"]) for r in top]
