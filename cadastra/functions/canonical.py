@@ -69,7 +69,3 @@ def json_fingerprint(text: Column) -> Column:
     """SHA-256 (hex) of the canonical form of a JSON text."""
     return F.sha2(canonical_json(text), 256)
 
-
-def struct_fingerprint(*columns: Column) -> Column:
-    """Fingerprint of named columns as one JSON object, nulls kept."""
-    return json_fingerprint(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

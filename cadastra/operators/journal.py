@@ -122,5 +122,5 @@ def nearest_around(events: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     """
     both = events.select(key, "at", F.col("at").alias("__event"), F.lit(0).alias("__kind")).unionByName(marks.select(key, "at", F.lit(None).cast(events.schema["at"].dataType).alias("__event"), F.lit(1).alias("__kind")))
     past = Window.partitionBy(key).orderBy("at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.desc("at"), F.asc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
     return both.select(key, "at", "__kind", F.last("__event", True).over(past).alias("before"), F.last("__event", True).over(ahead).alias("after")).where("__kind = 1").drop("__kind").distinct()

@@ -177,8 +177,9 @@ def artist_fingerprints(tracks: DataFrame, dimension: int) -> DataFrame:
     """A fingerprint (ARTIST_SCHEMA) of every entity."""
     known = tracks.where(F.size("embedding") == dimension)
     stops = album_medoids(known, dimension)
-    make = lambda key, rows, albums: pd.DataFrame([artist_fingerprint(key[0], rows.sort_values(["order", "id"]), albums.sort_values(["year", "album_key"]))] if len(rows) else [])
-    return sampled(known, dimension).groupBy("entity").cogroup(stops.groupBy("entity")).applyInPandas(make, ARTIST_SCHEMA)
+    stops = stops.select(*[F.col(c).alias(f"stop_{c}") for c in stops.columns])
+    make = lambda key, rows, albums: pd.DataFrame([artist_fingerprint(key[0], rows.sort_values(["order", "id"]), albums.rename(columns=lambda c: c.removeprefix("stop_")).sort_values(["year", "album_key"]))] if len(rows) else [])
+    return sampled(known, dimension).groupBy("entity").cogroup(stops.groupBy("stop_entity")).applyInPandas(make, ARTIST_SCHEMA)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
