@@ -1,9 +1,11 @@
 """Text cut off by field limits or in transfer (problem 8)."""
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,35 +19,45 @@ SUPPORT = 8
 RARE = 100
 #: A field limit is reached by so many texts, so many times the usual number of texts of one length.
 LIMIT_TEXTS, LIMIT_PEAK = 5, 8
-#: Tokens that are counted at a time; bounds memory, not texts.
+#: Parts of texts between spaces that are counted at a time; bounds memory, not texts.
 _CHUNK = 1_000_000
-_TERMINAL, _CLOSING = ".!?。！？…｡", "\"”»)]}」』’'"
+_TERMINAL, _CLOSING = ".!?。！？…｡", "\"\u201d»)]}」』\u2019'"
 _START = 0x9E3779B97F4A7C15
 
 
-#: White space, and characters without width, for Java's regular expressions.
-_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_IGNORABLE = r"[\x{ad}\x{34f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]"
-#: Runs of letters, marks and digits; line ends; single other characters.
-_RUN = rf"[\p{{L}}\p{{M}}\p{{N}}]+|\n|[^{_WS}]"
-_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space and characters without width that may follow the end of a text, for Arrow's regular expressions.
+_AFTER = r"[\s\x{85}\x{a0}\x{ad}\x{34f}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]+$"
 #: Characters from the end of a text in which its last tokens are sought before the whole text is.
-_TAIL = 1000
+_TAIL = 400
 
 
-def runs(text: Column) -> Column:
-    """A text cut into runs (see _RUN), from which spelt() makes tokens; NULL for NULL."""
-    return F.regexp_extract_all(F.rtrim(F.regexp_replace(text, _IGNORABLE, ""), F.lit(_SPACES)), F.lit(_RUN), F.lit(0))
+@lru_cache(maxsize=1)
+def _patterns():
+    import regex
 
+    ignorable = regex.compile(r"[\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060\ufeff]+")
+    run = regex.compile(r"[\p{L}\p{M}\p{N}]+|\n|[^\s]")
+    spaces = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0xAD, 0x34F, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF]
+    after = "".join(map(chr, spaces))
+    return ignorable, run, after
 
-def last_runs(text: Column) -> Column:
-    """The last runs of a text, at least 20 or all.
 
-    Taken from the end after a space where that gives so many, since a space parts runs; else from the whole text.
+def tokens(text: str) -> list[str]:
+    """Tokens of a text, or of a part of it between spaces: runs of letters, marks and digits (see spelt), line ends, others."""
+    ignorable, run, _ = _patterns()
+    return [t for found in run.findall(ignorable.sub("", text)) for t in spelt(found)]
+
+
+def last_tokens(text: str) -> list[str]:
+    """The last tokens of a text, at least 20 or all.
+
+    Taken from the end after a space where that gives so many, since a space parts tokens; else from the whole text.
     """
-    tail = F.regexp_replace(F.right(text, F.lit(_TAIL)), rf"^[^{_WS}]*", "")
-    near = F.when(F.char_length(text) > 2 * _TAIL, runs(tail))
-    return F.when(F.size(near) >= 20, near).otherwise(runs(text))
+    text = text.rstrip(_patterns()[2])
+    space = text.find(" ", len(text) - _TAIL) if len(text) > _TAIL else -1
+    if space >= 0 and len(found := tokens(text[space:])) >= 20:
+        return found
+    return tokens(text)
 
 
 def spelt(run: str) -> list[str]:
@@ -131,11 +143,11 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
         for batch in batches:
             rows, number, ends = [], {}, []  # numbers of distinct tokens; those of the last four of every text
-            for value, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for value in batch.column(2).to_pylist():
+                found = last_tokens(value or "")
                 if not found:
                     rows.append((None, len(value or ""), 0, 0, None, None))
                     continue
-                found = [t for run in found for t in spelt(run)]
                 raw, stripped, last = value.encode(), value.strip(), found[-1]
                 ends += [number.setdefault(t, len(number)) for t in [None, None, None, *found][-4:]]
                 if stripped.endswith("\ufffd"):
@@ -160,7 +172,7 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
                 names=["doc", "source", "text_key", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts"],
             )
 
-    return docs.select(doc_id, source, text, last_runs(F.col(text)).alias("__runs")).mapInArrow(describe, schema)
+    return docs.select(doc_id, source, text).mapInArrow(describe, schema)
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -171,34 +183,43 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for batch in batches:
-            lists = batch.column(0)
-            at, rows = lists.offsets.to_numpy(), len(lists)
-            first = 0
-            while first < rows:  # as many texts as have _CHUNK tokens together, one at least
+            lists = pc.split_pattern(pc.replace_substring_regex(pc.drop_null(batch.column(0)), _AFTER, ""), " ")
+            at, rows, first = lists.offsets.to_numpy(), len(lists), 0
+            while first < rows:  # as many texts as have _CHUNK parts together, one at least
                 after = max(first + 1, int(np.searchsorted(at, at[first] + _CHUNK, side="right")) - 1)
-                yield from _counted(lists.slice(first, after - first))
+                yield from _counted(lists.slice(first, after - first), known)
                 first = after
 
-    cut = docs.where(F.col(text).isNotNull()).select(runs(F.col(text)).alias("runs")).where(F.size("runs") > 0)
-    parts = cut.mapInArrow(count, "word string, key bigint, n bigint, n_stop bigint, n_end bigint")
+    parts = docs.select(text).mapInArrow(count, "word string, key bigint, n bigint, n_stop bigint, n_end bigint")
     return parts.groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_end")])
 
 
-def _counted(texts: pa.ListArray) -> Iterator[pa.RecordBatch]:
-    """Counts of the words and contexts of some texts, none of them without tokens."""
+def _counted(texts: pa.ListArray, known: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words and contexts of some texts, each a list of parts; known: tokens of parts seen before."""
     names = ["word", "key", "n", "n_stop", "n_end"]
-    sizes = np.diff(texts.offsets.to_numpy())
     coded = texts.flatten().dictionary_encode()
+    if len(known) > 500_000:
+        known.clear()
     number: dict[str, int] = {}
-    parts = [[number.setdefault(t, len(number)) for t in spelt(run)] for run in coded.dictionary.to_pylist()]
-    words, runs_ = list(number), coded.indices.to_numpy()
-    # every run becomes its tokens
-    flat_parts, n_parts = np.array([c for each in parts for c in each], np.int64), np.array([len(each) for each in parts])
-    n = n_parts[runs_]
+    parts = []
+    for part in coded.dictionary.to_pylist():
+        found = known.get(part)
+        if found is None:
+            found = known[part] = tokens(part)
+        parts.append([number.setdefault(t, len(number)) for t in found])
+    words, of = list(number), coded.indices.to_numpy()
+    # every part becomes its tokens
+    flat_parts, n_parts = np.array([c for each in parts for c in each], np.int64), np.array([len(each) for each in parts], np.int64)
+    n = n_parts[of]
     begin = np.cumsum(n) - n
-    codes = flat_parts[np.repeat((np.cumsum(n_parts) - n_parts)[runs_] - begin, n) + np.arange(int(n.sum()))]
-    sizes = np.add.reduceat(n, np.cumsum(sizes) - sizes)
+    codes = flat_parts[np.repeat((np.cumsum(n_parts) - n_parts)[of] - begin, n) + np.arange(int(n.sum()))]
+    offsets = texts.offsets.to_numpy()
+    sizes = np.diff(np.append(0, np.cumsum(n))[offsets - offsets[0]])
+    sizes = sizes[sizes > 0]
+    if not len(sizes):
+        return
 
     # three start marks before every text
     at = np.arange(len(codes)) + 3 * np.repeat(np.arange(1, len(sizes) + 1), sizes)

@@ -84,3 +84,18 @@ def test_very_long_text(spark):
     rows, _ = corpus(n=60)
     rows.append((77_777, "word " * 200_000 + "wor", "open", None))
     assert 77_777 in {r["doc_id"] for r in found(spark, rows)}
+
+
+def test_long_runs_of_spaces_and_letters(spark):
+    rows, _ = corpus(n=60)
+    rows += [(1_000, "a" + " " * 300_000 + "b", "open", None), (1_001, "x" * 300_000, "open", None), (1_002, "日" * 100_000 + " ​\n", "open", None), (1_003, "1a" * 100_000, "open", None)]
+    assert {r["doc_id"] for r in found(spark, rows)} <= {r[0] for r in rows}
+
+
+def test_last_tokens_are_those_of_the_whole_text():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "20ms ", "ab3 ", ", ", "日本", "\n", "​", "x", ". "]) for _ in range(rng.randint(0, 400)))
+        whole, last = truncation.tokens(text.rstrip(truncation._patterns()[2])), truncation.last_tokens(text)
+        assert whole[-len(last) :] == last if last else not whole
+        assert len(last) >= min(20, len(whole))
