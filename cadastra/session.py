@@ -1,6 +1,8 @@
 """Session set-up, reliable checkpoints and skew-proof joins."""
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,27 @@ def local_session(cores: int | str = "*", app: str = "cadastra", memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="cadastra-package-")) / "cadastra.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared checkpoint folder, so a lost executor never has it recomputed.
 
