@@ -31,7 +31,7 @@ def vector_means(spark, d):
     return mean.select("label", F.transform("m", lambda x: F.round(x.cast("double"), 4)).alias("mean"))
 
 
-_PAIR = "round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
+_PAIR = "round(round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), 6)"
 
 
 @query(f"SELECT a.vec_id AS query, b.vec_id AS id, {_PAIR} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) <= 12")
