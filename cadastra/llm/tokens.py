@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.session import checkpointed, spread
@@ -167,22 +167,35 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return done.unionByName(put_in(both)).select(F.col("__doc").alias(doc_id), "ids")
 
 
-def token_bytes(spark: SparkSession, path: str = RANKS) -> DataFrame:
-    """id, hex: the bytes of every token; as many rows as the vocabulary has."""
-    rows = [(int(b), base64.b64decode(a).hex()) for a, b in map(bytes.split, read_ranks(path).splitlines())]
-    return spark.createDataFrame(rows, "id int, hex string")
+def token_bytes(path: str = RANKS) -> tuple[list[int], list[bytes]]:
+    """The token-byte table: ids and their bytes; as many rows as the vocabulary has."""
+    rows = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, read_ranks(path).splitlines()))
+    return [i for i, _ in rows], [b for _, b in rows]
 
 
 def decode_corpus(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str = RANKS) -> DataFrame:
-    """doc_id, text: the text of every list of token ids; an empty or NULL list gives an empty text.
+    """doc_id, text: the text of every list of token ids, a row for each row; an empty or NULL list gives an empty text.
 
-    Ids are exploded with positions, joined with the token-byte table (broadcast: its size is the vocabulary's) and put
-    together by position. Ids outside the vocabulary give nothing. Rows need distinct ids of documents; of several
-    lists with one doc_id, or none, each is decoded on its own by its hash.
+    The ids of a batch are joined with the token-byte table by Arrow's hash table and their bytes put together in order.
+    The table's size is the vocabulary's, so it goes to every task and nothing is shuffled. Ids outside the vocabulary
+    give nothing; bytes that are no UTF-8 come out as U+FFFD.
     """
-    rows = encoded.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(ids)).alias("__list"), F.posexplode_outer(ids).alias("__pos", "id"))
-    found = rows.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "id", "left")
-    whole = found.groupBy("__doc", "__list").agg(F.array_sort(F.collect_list(F.struct("__pos", "hex"))).alias("__all"))
-    once = F.filter("__all", lambda x, i: (i == 0) | (x["__pos"] != F.element_at("__all", F.greatest(i, F.lit(1)))["__pos"]))
-    joined = F.array_join(F.transform(once, lambda x: x["hex"]), "")
-    return whole.select(F.col("__doc").alias(doc_id), F.unhex(joined).cast("string").alias("text"))
+    kind = encoded.schema[doc_id].dataType.simpleString()
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(path))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, data = shared.value
+        table, pieces = pa.array(known, pa.int32()), pa.array([*data, b""], pa.binary())
+        for batch in batches:
+            lists = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=table), len(known))
+            offsets = lists.offsets.to_numpy()
+            found = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces.take(at))
+            joined = pc.binary_join(found, b"")
+            try:
+                text = joined.cast(pa.string())
+            except pa.ArrowInvalid:
+                text = pa.array([b.decode(errors="replace") for b in joined.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], names=[doc_id, "text"])
+
+    return encoded.select(doc_id, F.col(ids).cast("array<int>").alias("ids")).mapInArrow(decode, f"{doc_id} {kind}, text string")

@@ -36,6 +36,14 @@ def test_round_trip(docs):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_decoding_of_odd_lists(spark):
+    df = spark.createDataFrame([(1, [0, 999_999, -1]), (2, None), (3, []), (4, [127, 126]), (4, [127])], "doc_id int, ids array<int>")
+    ids, data = tokens.token_bytes()
+    table = dict(zip(ids, data))
+    want = [(1, table[0]), (2, b""), (3, b""), (4, table[127] + table[126]), (4, table[127])]
+    assert sorted((r["doc_id"], r["text"]) for r in tokens.decode_corpus(df).collect()) == sorted((i, b.decode(errors="replace")) for i, b in want)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(1, "one two"), (1, "one two"), (1, "three"), (None, "four"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
