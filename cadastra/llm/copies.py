@@ -57,8 +57,8 @@ def _set(filter_: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(filter_, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
 
 
-def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
-    """A Bloom filter of the 64-bit hashes that occur more than once; `hashes` has one bigint column.
+def repeat_filter(hashes: DataFrame, bits: int, repeated: bool = True) -> bytes:
+    """A Bloom filter of the 64-bit hashes that occur more than once (or of all, if not `repeated`); `hashes` has one bigint column.
 
     Every partition fills two filters: one of hashes seen once, one of those seen again. Merged, a hash repeats if it
     repeats in a part or was seen in both: again = again1 | again2 | (once1 & once2). No repeat is missed; some hashes
@@ -84,7 +84,7 @@ def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
         row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([again.tobytes()])], names=["segment", "again"])
         for batch in batches:
             for k, a, b in zip(*(batch.column(i) for i in range(3))):
-                k, a, b = k.as_py(), np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
+                k, a, b = k.as_py(), np.frombuffer(a.as_py(), np.uint8), np.frombuffer((b if repeated else a).as_py(), np.uint8)
                 if k != now:
                     if now is not None and again.any():
                         yield row()

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.llm.copies import _has, _positions, filter_bits, repeat_filter
 from cadastra.session import checkpointed, salted_join, spread
 
 #: Contexts of a token, from the most to the least specific: the words before it with its class, or with itself.
@@ -175,29 +176,41 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     return docs.select(doc_id, source, text).mapInArrow(describe, schema)
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def wanted_contexts(ends: DataFrame, bits: int | None = None) -> bytes:
+    """A Bloom filter of the contexts in which texts end; its size is bounded as filter_bits says."""
+    keys = ends.select(F.explode("contexts").alias("key"))
+    return repeat_filter(keys, bits or filter_bits(LEVELS * ends.count()), repeated=False)
+
+
+def corpus_counts(docs: DataFrame, text: str = "text", wanted: bytes | None = None) -> DataFrame:
     """word (NULL for a context), key (NULL for a word), n, n_stop, n_end over all tokens of all texts.
 
+    Contexts that do not pass the filter `wanted` are left out before the shuffle: no text ends in them. The filter lets
+    through all that are wanted and, the fuller it is, others, which only cost.
+
     Words count where something follows them. Contexts count all their tokens, those before a line or text end (n_stop)
     and those that end a text (n_end). Combined in every batch, then by partial aggregation, then by word or key.
     """
 
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
+        asked = None if shared is None else np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             lists = pc.split_pattern(pc.replace_substring_regex(pc.drop_null(batch.column(0)), _AFTER, ""), " ")
             at, rows, first = lists.offsets.to_numpy(), len(lists), 0
             while first < rows:  # as many texts as have _CHUNK parts together, one at least
                 after = max(first + 1, int(np.searchsorted(at, at[first] + _CHUNK, side="right")) - 1)
-                yield from _counted(lists.slice(first, after - first), known)
+                yield from _counted(lists.slice(first, after - first), known, asked)
                 first = after
 
     parts = docs.select(text).mapInArrow(count, "word string, key bigint, n bigint, n_stop bigint, n_end bigint")
     return parts.groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_end")])
 
 
-def _counted(texts: pa.ListArray, known: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words and contexts of some texts, each a list of parts; known: tokens of parts seen before."""
+def _counted(texts: pa.ListArray, known: dict[str, list[str]], asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the words and contexts of some texts, each a list of parts; known: tokens of parts seen before; asked: the filter."""
     names = ["word", "key", "n", "n_stop", "n_end"]
     coded = texts.flatten().dictionary_encode()
     if len(known) > 500_000:
@@ -235,7 +248,9 @@ def _counted(texts: pa.ListArray, known: dict[str, list[str]]) -> Iterator[pa.Re
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         n = np.diff(np.r_[first, len(ordered)])
         n_stop, n_end = (np.add.reduceat(flags[order].astype(np.int64), first) for flags in (stop, end))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.string()), pa.array(ordered[first].astype(np.int64)), pa.array(n), pa.array(n_stop), pa.array(n_end)], names=names)
+        found = ordered[first]
+        kept = np.flatnonzero(_has(asked, _positions(found, 8 * len(asked)))) if asked is not None else np.arange(len(found))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(kept), pa.string()), *(pa.array(x[kept].astype(np.int64)) for x in (found, n, n_stop, n_end))], names=names)
     inner = np.bincount(codes[~end], minlength=len(words))
     zero = pa.array(np.zeros(len(words), np.int64))
     yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(words), pa.int64()), pa.array(inner.astype(np.int64)), zero, zero], names=names)
@@ -360,7 +375,7 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     """
     docs = spread(docs.select(doc_id, text, source), doc_id)
     ends = checkpointed(endings(docs, doc_id, text, source))
-    counts = checkpointed(corpus_counts(docs, text))
+    counts = checkpointed(corpus_counts(docs, text, wanted_contexts(ends)))
     texts = ends.where("last is not null").groupBy("text_key", "source", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts").agg(F.count("*").alias("copies"))
     texts = checkpointed(texts.withColumn("text_id", F.xxhash64("text_key", "source")))
 
