@@ -36,11 +36,11 @@ def found(view: DataFrame, query: str | None, columns: tuple[str, ...] = ("title
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of rows in `order`, each with the total before the limit (as `total`); an empty page has no rows.
 
-    The total is counted by partial aggregation and joined as the one row it is, so no window gathers all rows; the page
-    is the head of a top-k.
+    The total is a scalar subquery, counted by partial aggregation, so no window gathers all rows; the page is the head of
+    a top-k.
     """
     total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
+    return rows.orderBy(*order).offset(offset).limit(limit).select("*", total.scalar().alias("total"))
 
 
 def albums_of(view: DataFrame) -> DataFrame:

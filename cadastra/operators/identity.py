@@ -87,7 +87,7 @@ def inspect_ids(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
         F.count_if(able & kept & moved).alias("n_duplicate"),
         F.count_if(able & ~kept & moved).alias("n_matched"),
         F.count_if(able & ~kept & ~moved).alias("n_missing"),
-    ).join(F.broadcast(now.agg(F.count("*").alias("n_current"))))
+    ).select("*", now.agg(F.count("*")).scalar().alias("n_current"))
     status = (
         F.when(F.col("n_duplicate") > 0, "conflict")
         .when(F.col("n_matched") > 0, "transition_detected")

@@ -1,5 +1,6 @@
 """Queries of the catalogue operators, over whole tables, with their oracle SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions import numbers, text
@@ -95,7 +96,8 @@ def _neighbours(spark, d):
     """Rows of catalog_tracks with the place of their generation in their instance: (older side, newer side) of each pair."""
     rows = table(spark, d, "catalog_tracks").where("available").select("catalog_instance_id", "published_generation", "track_id", *_FPS)
     all_ = table(spark, d, "catalog_tracks").select("catalog_instance_id", "published_generation").distinct()
-    following = all_.alias("a").join(all_.alias("b"), "catalog_instance_id").where("b.published_generation > a.published_generation").groupBy("catalog_instance_id", "a.published_generation").agg(F.min("b.published_generation").alias("next_generation"))
+    order = Window.partitionBy("catalog_instance_id").orderBy("published_generation")
+    following = all_.withColumn("next_generation", F.lead("published_generation").over(order)).where("next_generation is not null")
     first = all_.groupBy("catalog_instance_id").agg(F.min("published_generation").alias("__first"))
     old = salted_join(rows, following, ["catalog_instance_id", "published_generation"], [F.col("track_id")]).select("catalog_instance_id", F.col("next_generation").alias("generation"), "track_id", *_FPS)
     new = salted_join(rows, first, ["catalog_instance_id"], [F.col("track_id")]).where("published_generation > __first").select("catalog_instance_id", F.col("published_generation").alias("generation"), "track_id", *_FPS)

@@ -48,16 +48,23 @@ def range_stats(spark, d):
     return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean", "q1", "q3")])
 
 
-_STATS = "s AS (SELECT event_type AS t, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1), i AS (SELECT t, CASE WHEN q1 = 0 AND q3 = 0 THEN lo ELSE q1 END / 1000 AS a, CASE WHEN q1 = 0 AND q3 = 0 THEN hi ELSE q3 END / 1000 AS b FROM s)"
+_ENDS = "CASE WHEN q1 = 0 AND q3 = 0 THEN lo ELSE q1 END / 1000 AS a, CASE WHEN q1 = 0 AND q3 = 0 THEN hi ELSE q3 END / 1000 AS b"
+_RANGE = "min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3"
 
 
-@query(f"WITH {_STATS} SELECT x.t AS source, y.t AS candidate, round(CASE WHEN x.a = x.b AND y.a = y.b THEN least(1, abs(x.a - y.a)) WHEN greatest(x.a, y.a) > least(x.b, y.b) THEN least(1, greatest(x.a, y.a) - least(x.b, y.b)) WHEN greatest(x.b, y.b) <= least(x.a, y.a) THEN 0 ELSE greatest(0, least(1, 1 - (least(x.b, y.b) - greatest(x.a, y.a)) / (greatest(x.b, y.b) - least(x.a, y.a)))) END, 6) AS distance FROM i x JOIN i y ON x.t < y.t")
+@query(f"""WITH x AS (SELECT t, {_ENDS} FROM (SELECT event_type AS t, {_RANGE} FROM events GROUP BY 1)), y AS (SELECT {_ENDS} FROM (SELECT {_RANGE} FROM events))
+SELECT x.t AS event_type, round(CASE WHEN x.a = x.b AND y.a = y.b THEN least(1, abs(x.a - y.a)) WHEN greatest(x.a, y.a) > least(x.b, y.b) THEN least(1, greatest(x.a, y.a) - least(x.b, y.b)) WHEN greatest(x.b, y.b) <= least(x.a, y.a) THEN 0 ELSE greatest(0, least(1, 1 - (least(x.b, y.b) - greatest(x.a, y.a)) / (greatest(x.b, y.b) - least(x.a, y.a)))) END, 6) AS distance FROM x, y""")
 def interval_distances(spark, d):
-    stats = table(spark, d, "events").groupBy("event_type").agg(*numbers.range_stats(F.col("value")))
-    low, high = numbers.interval(*[F.col(c) / 1000 for c in ("low", "high", "q1", "q3")])
-    one = stats.select("event_type", low.alias("a"), high.alias("b"))
-    pair = one.alias("x").join(one.alias("y"), F.col("x.event_type") < F.col("y.event_type"))
-    return pair.select(F.col("x.event_type").alias("source"), F.col("y.event_type").alias("candidate"), F.round(numbers.interval_distance((F.col("x.a"), F.col("x.b")), (F.col("y.a"), F.col("y.b"))), 6).alias("distance"))
+    """How far the values of each event type are from those of all events."""
+    events = table(spark, d, "events")
+
+    def ends(stats):
+        low, high = numbers.interval(*[F.col(c) / 1000 for c in ("low", "high", "q1", "q3")])
+        return stats.withColumns({"a": low, "b": high})
+
+    every = ends(events.agg(*numbers.range_stats(F.col("value"))))
+    each = ends(events.groupBy("event_type").agg(*numbers.range_stats(F.col("value")))).select("event_type", "a", "b", every.select(F.struct("a", "b")).scalar().alias("y"))
+    return each.select("event_type", F.round(numbers.interval_distance((F.col("a"), F.col("b")), (F.col("y.a"), F.col("y.b"))), 6).alias("distance"))
 
 
 def _tracks(spark, d):
