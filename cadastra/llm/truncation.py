@@ -330,8 +330,8 @@ def field_limits(ends: DataFrame) -> DataFrame:
 def _verdict() -> Column:
     """Why a text counts as cut, from its end, limit, last word and contexts; NULL if it does not."""
     n, stop, end = ([F.col(f"level{k}.{c}") for k in range(LEVELS)] for c in ("n", "n_stop", "n_end"))
-    # other texts only: a short text that many sent is a phrase of its own, else all its copies are left out
-    own = F.when((F.col("copies") >= 5) & (F.col("n_tokens") <= 12), 1).otherwise(F.col("copies"))
+    # other texts only: a short text that many sent is a phrase of its own, else all its copies are left out; those of a doubtful text already are
+    own = F.when((F.col("copies") >= 5) & (F.col("n_tokens") <= 12), 1).otherwise(F.col("copies")) - F.when(F.col("doubtful"), F.col("copies")).otherwise(0)
     n, stop, end = ([x - own for x in xs] for xs in (n, stop, end))
     known = [F.coalesce(x >= SUPPORT, F.lit(False)) for x in n]
     ends = [(e >= 0.2 * x) | ((s >= 0.8 * x) & ((e >= 0.01 * x) | (x < 200))) for x, s, e in zip(n, stop, end)]
@@ -346,12 +346,11 @@ def _verdict() -> Column:
 
     sure = F.coalesce(judged(often), F.lit(False))
     open_end = F.col("ending").isin("word", "other")
-    partial = (F.col("ending") == "word") & (F.col("longest_n") > 0) & (F.col("own_n") * RARE <= F.col("longest_n"))
     short = (F.col("ending") == "abbreviation") & (n[3] >= 50) & (stop[3] < 0.02 * n[3])
     return (
         F.when(F.col("ending") == "broken", "character")
         .when(F.col("ending") == "open structure", "structure")
-        .when(open_end & partial & ~sure, "word")
+        .when(open_end & F.col("partial") & ~sure, "word")
         .when(open_end & F.col("at_limit") & ~sure, "limit")
         .when(open_end & ~judged(ends), "sentence")
         .when(short, "sentence")
@@ -364,7 +363,8 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     evidence: `character` (ends in a broken character), `structure` (brackets or strings stay open), `word` (the last
     word is unknown and a proper prefix of known words), `limit` (the length is its source's field limit and the end is
     open), `sentence` (its last words are elsewhere nearly always followed by more). Only ends without final punctuation
-    are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is complete. Copies
+    are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is complete. Ends that may be cuts
+    themselves (broken, inside a structure, an open end in a partial word or at a limit) vouch for no text. Copies
     of a text say nothing about it, but a text of at most 12 tokens that came five times or more is a phrase of its own
     and does. NULL, empty and
     blank texts are not cut. Every row is judged, rows repeated too; NULL sources are one source.
@@ -380,12 +380,6 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     texts = checkpointed(texts.withColumn("text_id", F.xxhash64("text_key", "source")))
 
     looked_up = prefix_lookup(texts.where("ending = 'word'").select(F.col("last").alias("word")).distinct(), counts.where("word is not null").select("word", "n"))
-    asked = texts.select("text_id", "text_key", "source", F.posexplode("contexts").alias("level", "key"))
-    needed = counts.where("key is not null").select("key", "n", "n_stop", "n_end").join(asked.select("key").distinct(), "key")
-    met = salted_join(asked, needed, ["key"], [F.col("text_id")])
-    levels = [F.max(F.when(F.col("level") == k, F.struct("n", "n_stop", "n_end"))).alias(f"level{k}") for k in range(LEVELS)]
-    levelled = met.groupBy("text_id", "text_key").agg(*levels)
-
     limits = field_limits(ends)
     by_unit = limits.groupBy("source").agg(*[F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"limit_{u}") for u in ("chars", "bytes")]).withColumnRenamed("source", "__source")
     at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce((F.col("n_bytes") - F.col("limit_bytes")).between(-3, 2), F.lit(False))
@@ -393,9 +387,20 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     named = texts.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))
     limited = salted_join(named, by_unit.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("-"))), ["__source"], [F.col("text_id")], "left_outer")
     words = looked_up.select(F.col("word").alias("last"), F.col("n").alias("own_n"), "longest_n")
+    partial = F.coalesce((F.col("ending") == "word") & (F.col("longest_n") > 0) & (F.col("own_n") * RARE <= F.col("longest_n")), F.lit(False))
+    doubtful = F.col("ending").isin("broken", "open structure") | (F.col("ending").isin("word", "other") & (F.col("partial") | F.col("at_limit")))
+    spelled = salted_join(limited.withColumn("at_limit", at_limit), words, ["last"], [F.col("text_id")], "left_outer")
+    flagged = checkpointed(spelled.withColumn("partial", partial).withColumn("doubtful", doubtful))
+
+    asked = flagged.select("text_id", "text_key", "source", F.when(F.col("doubtful"), F.col("copies")).otherwise(0).alias("n_cut"), F.posexplode("contexts").alias("level", "key"))
+    others = [(F.col(c) - F.col("n_cut")).alias(c) for c in ("n", "n_stop", "n_end")]
+    needed = counts.where("key is not null").join(asked.groupBy("key").agg(F.sum("n_cut").alias("n_cut")), "key").select("key", *others)
+    met = salted_join(asked.drop("n_cut"), needed, ["key"], [F.col("text_id")])
+    levels = [F.max(F.when(F.col("level") == k, F.struct("n", "n_stop", "n_end"))).alias(f"level{k}") for k in range(LEVELS)]
+    levelled = met.groupBy("text_id", "text_key").agg(*levels)
+
     judged = (
-        salted_join(limited.withColumn("at_limit", at_limit), words, ["last"], [F.col("text_id")], "left_outer")
-        .join(levelled, ["text_id", "text_key"], "left")
+        flagged.join(levelled, ["text_id", "text_key"], "left")
         .withColumn("evidence", _verdict())
         .where("evidence is not null")
         .select("text_key", F.col("__source"), "evidence")

@@ -56,6 +56,15 @@ def test_copies_of_a_cut_text_are_cut_too(spark):
     assert {10_000 + i for i in range(300)} <= got
 
 
+def test_texts_cut_at_the_same_fragment_do_not_vouch_for_each_other(spark):
+    rows, _ = corpus()
+    before = [f"{o} {m} {c}." for o in OPENERS for m in MIDDLES for c in CLOSERS][:50]
+    rows += [(10_000 + i, f"{text} A guest argues with the organ while the others wai", "open", None) for i, text in enumerate(before)]
+    rows += [(20_000 + i, f"{text} The drummer at the anniv", "open", None) for i, text in enumerate(before)]
+    got = {r["doc_id"] for r in found(spark, rows)}
+    assert {r[0] for r in rows if r[0] >= 10_000} <= got
+
+
 def test_report_counts_per_source(spark):
     rows, _ = corpus(n=300)
     rows += [(900, None, None, None), (901, "[", None, None), (901, "[", None, None)]
