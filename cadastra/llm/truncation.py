@@ -331,7 +331,7 @@ def _verdict() -> Column:
     """Why a text counts as cut, from its end, limit, last word and contexts; NULL if it does not."""
     n, stop, end = ([F.col(f"level{k}.{c}") for k in range(LEVELS)] for c in ("n", "n_stop", "n_end"))
     # other texts only: a short text that many sent is a phrase of its own, else all its copies are left out; those of a doubtful text already are
-    own = F.when((F.col("copies") >= 5) & (F.col("n_tokens") <= 12), 1).otherwise(F.col("copies")) - F.when(F.col("doubtful"), F.col("copies")).otherwise(0)
+    own = F.when(F.col("doubtful"), 0).when((F.col("copies") >= 5) & (F.col("n_tokens") <= 12), 1).otherwise(F.col("copies"))
     n, stop, end = ([x - own for x in xs] for xs in (n, stop, end))
     known = [F.coalesce(x >= SUPPORT, F.lit(False)) for x in n]
     ends = [(e >= 0.2 * x) | ((s >= 0.8 * x) & ((e >= 0.01 * x) | (x < 200))) for x, s, e in zip(n, stop, end)]
@@ -366,7 +366,7 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is complete. Ends that may be cuts
     themselves (broken, inside a structure, an open end in a partial word or at a limit) vouch for no text. Copies
     of a text say nothing about it, but a text of at most 12 tokens that came five times or more is a phrase of its own
-    and does. NULL, empty and
+    and does, unless its own end may be a cut. NULL, empty and
     blank texts are not cut. Every row is judged, rows repeated too; NULL sources are one source.
 
     Whole texts are read twice: for their ends and for the counts of words and contexts over all texts. Then only short

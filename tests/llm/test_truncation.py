@@ -56,6 +56,15 @@ def test_copies_of_a_cut_text_are_cut_too(spark):
     assert {10_000 + i for i in range(300)} <= got
 
 
+def test_copies_of_a_short_text_cut_within_a_word_are_cut_too(spark):
+    rows, _ = corpus()
+    rows += [(10_000 + i, "still waiting for a proper arrange", "notes", None) for i in range(300)]
+    rows += [(20_000 + i, "one more ride on my carousel", "open", None) for i in range(300)]
+    got = {r["doc_id"] for r in found(spark, rows)}
+    assert {r[0] for r in rows if 10_000 <= r[0] < 20_000} <= got
+    assert not {r[0] for r in rows if r[0] >= 20_000} & got
+
+
 def test_texts_cut_at_the_same_fragment_do_not_vouch_for_each_other(spark):
     rows, _ = corpus()
     before = [f"{o} {m} {c}." for o in OPENERS for m in MIDDLES for c in CLOSERS][:50]
