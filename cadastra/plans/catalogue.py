@@ -156,7 +156,7 @@ n AS (SELECT catalog_instance_id, count(DISTINCT entity_id) // 40 AS n FROM cata
 SELECT DISTINCT c.catalog_instance_id, c.epoch, c.seq, c.entity_id FROM catalog_changes c JOIN h USING (catalog_instance_id, epoch) JOIN n USING (catalog_instance_id) WHERE c.seq > greatest(0, head - greatest(1000, 2 * n))""")
 def journal_compacted(spark, d):
     rows = table(spark, d, "catalog_changes")
-    entities = rows.groupBy("catalog_instance_id").agg(F.floor(F.count_distinct("entity_id") / 40).alias("n"))
+    entities = rows.groupBy("catalog_instance_id").agg(F.count_distinct("entity_type", "entity_id").alias("n"))
     return journal.compacted(rows.select("catalog_instance_id", "epoch", "generation", "seq", "entity_id"), entities).select("catalog_instance_id", "epoch", "seq", "entity_id").distinct()
 
 

@@ -3,6 +3,7 @@ import pytest
 from cadastra.operators import journal as j
 from cadastra.operators import paging as p
 from cadastra.operators.generations import GenerationStore, Moved
+from cadastra.plans.catalogue import QUERIES
 
 SCHEMA = "entity_type string, entity_id string, fp string, payload string"
 
@@ -39,6 +40,15 @@ def test_retention():
     assert j.retention_floor(500, 10) == 0
 
 
+def test_the_journal_keeps_two_events_for_every_entity(spark, tmp_path):
+    # 800 entities: 400 ids, each of an album and of a track
+    rows = [("large", "e", 1, s, ("album", "track")[s % 2], str(s // 2 % 400)) for s in range(1, 1701)] + [("small", "e", 1, s, "track", str(s % 9)) for s in range(1, 1701)]
+    spark.createDataFrame(rows, "catalog_instance_id string, epoch string, generation bigint, seq bigint, entity_type string, entity_id string").write.parquet(str(tmp_path / "catalog_changes.parquet"))
+    kept = QUERIES["journal_compacted"](spark, str(tmp_path)).collect()
+    assert sorted(r["seq"] for r in kept if r["catalog_instance_id"] == "large") == list(range(101, 1701))
+    assert sorted(r["seq"] for r in kept if r["catalog_instance_id"] == "small") == list(range(701, 1701))
+
+
 def test_diff_counts_repeats_once_and_nulls_are_equal(spark):
     old = spark.createDataFrame([("a", None), ("a", None), ("b", "1"), ("c", "1")], "k string, f string")
     new = spark.createDataFrame([("a", None), ("b", None), ("d", "1"), ("d", "1")], "k string, f string")
