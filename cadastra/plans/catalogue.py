@@ -352,7 +352,7 @@ def suspect_groups(spark, d):
     items = table(spark, d, "collection_items").where("track_id is not null").select("track_id", "title", "artist", "album").distinct()
     length = table(spark, d, "catalog_tracks").groupBy("track_id").agg(F.min("duration_ms").alias("duration_ms"))
     rows = items.join(length, "track_id").select(F.col("album").alias("analysis_id"), "title", "artist", "duration_ms", F.array().cast("array<string>").alias("recording_ids"))
-    return analysis.suspects(rows, 60_000)
+    return analysis.suspects(rows)
 
 
 @query("""SELECT analysis_id, n, CASE WHEN n = 1 THEN 'complete' WHEN have < n THEN 'pending' WHEN differ THEN 'disagreement' ELSE 'complete' END AS verdict FROM

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import numbers, text, vectors
 from cadastra.operators import analysis, browse
+from cadastra.plans.catalogue import QUERIES
 
 
 def one(spark, schema, row, column):
@@ -48,6 +49,13 @@ def test_vectors(spark):
     assert d([1.0, 0.0], [0.0, 2.0]) == 1 and d([1.0], [-3.0]) == 2 and d([0.0], [1.0]) == 1 and d(None, [1.0]) == 1 and d([1.0], [1.0, 2.0]) == 1 and d([2.0, 2.0], [1.0, 1.0]) == pytest.approx(0)
 
 
+def test_suspect_groups_take_the_tolerance_of_one_recording(spark, tmp_path):
+    items = [("a", "Song", "One", "near"), ("b", "Song", "One", "near"), ("c", "Song", "One", "far"), ("d", "Song", "One", "far")]
+    spark.createDataFrame(items, "track_id string, title string, artist string, album string").write.parquet(str(tmp_path / "collection_items.parquet"))
+    spark.createDataFrame([("a", 100_000), ("b", 103_000), ("c", 100_000), ("d", 103_001)], "track_id string, duration_ms bigint").write.parquet(str(tmp_path / "catalog_tracks.parquet"))
+    assert [r["analysis_id"] for r in QUERIES["suspect_groups"](spark, str(tmp_path)).collect()] == ["far"]
+
+
 def test_evidence_and_suspects(spark):
     rows = spark.createDataFrame([("one", None), ("same", "f"), ("same", "f"), ("none", "f"), ("none", ""), ("two", "f"), ("two", "g")], "analysis_id string, fingerprint string")
     verdicts = lambda **k: {r["analysis_id"]: r["verdict"] for r in analysis.evidence(rows, **k).collect()}
