@@ -183,14 +183,17 @@ def _patterns():
 
     hidden = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in IGNORABLE)
     unit = rf"[\p{{L}}\p{{M}}\p{{N}}{hidden}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]"
-    picture = r"\p{Extended_Pictographic}[\p{EMod}\ufe0e\ufe0f\u20e3\U000e0020-\U000e007f]*"
+    # pictures shown as text by default that are forms of other characters (circled M, trade mark): emoji only before a selector or joiner
+    shown = regex.compile(r"(?!\p{Emoji_Presentation})\p{Extended_Pictographic}")
+    texts = "".join(c for c in map(chr, range(0x2000, 0x20000)) if shown.match(c) and unicodedata.normalize("NFKC", c) != c)
+    picture = rf"(?![{texts}](?![\ufe0f\u200d]))\p{{Extended_Pictographic}}[\p{{EMod}}\ufe0e\ufe0f\u20e3\U000e0020-\U000e007f]*"
     return regex.compile(rf"(?P<emoji>{picture}(?:\u200d{picture})*|\p{{RI}}\p{{RI}}|[0-9#*]\ufe0f?\u20e3)|(?P<word>{unit}+(?:['’＇]{unit}+)*)")
 
 
 def pieces(value: str) -> list[tuple[str, str | None]]:
     """A value cut into (text, form): words have no form yet, everything else its form by table. The texts join to the value.
 
-    Emoji stay with their joiners and selectors. Outside words, spaces other than U+0020 and breaks become U+0020.
+    Emoji stay with their joiners and selectors; a sign that is a compatibility form counts as emoji only with one of these. Outside words, spaces other than U+0020 and breaks become U+0020.
     """
     out, at = [], 0
 

@@ -23,6 +23,12 @@ def test_changed_and_unchanged(spark):
     assert not set(got) & set(SAME)
 
 
+def test_signs_are_emoji_only_with_a_selector_or_joiner(spark):
+    want = {"\u24c2etal": "Metal", "Live\u2122": "LiveTM", "\u2139nfo": "info", "Stop\u203c": "Stop!!", "What\u2049": "What!?", "\u3297": "\u795d", "\u3299": "\u79d8"}
+    emoji = ["\u24c2\ufe0fetal", "Live\u2122\ufe0f", "\u2139\u200d\u2764", "\U0001f21a", "5\u00a9"]
+    assert forms(spark, [*want, *emoji]) == want
+
+
 def test_the_vocabulary_decides(spark):
     # by table alone this mixed word has as many letters of either script
     got = forms(spark, ["Сор", "Cop", "Cop", "С​or", "сосo", "соco"])
