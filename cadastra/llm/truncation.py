@@ -114,21 +114,23 @@ def _mixed(seed: np.uint64, *parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _open_structure(text: str) -> bool:
-    """Whether a text that begins with a bracket leaves a bracket or string open."""
-    depth, quoted, escaped = 0, False, False
+def _structure(text: str) -> str | None:
+    """Of a text that begins with a bracket: open if a bracket or a string in one stays open, closed if it is brackets throughout, else NULL (prose)."""
+    depth, quoted, escaped, loose = 0, False, False, False
     for ch in text:
         if escaped:
             escaped = False
         elif quoted and ch == "\\":
             escaped = True
-        elif ch == '"':
+        elif depth and ch == '"':
             quoted = not quoted
         elif not quoted and ch in "{[":
             depth += 1
-        elif not quoted and ch in "}]":
+        elif depth and not quoted and ch in "}]":
             depth -= 1
-    return quoted or depth > 0
+        elif not depth and ch != "," and not ch.isspace():
+            loose = True
+    return "open structure" if depth else None if loose else "closed structure"
 
 
 def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -153,8 +155,8 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
                 ends += [number.setdefault(t, len(number)) for t in [None, None, None, *found][-4:]]
                 if stripped.endswith("\ufffd"):
                     kind = "broken"
-                elif stripped[0] in "{[":
-                    kind = "open structure" if _open_structure(stripped) else "closed structure"
+                elif stripped[0] in "{[" and (structure := _structure(stripped)):
+                    kind = structure
                 elif last in _TERMINAL:
                     kind = "abbreviation" if last == "." and len(found) > 1 and found[-2][0].isalpha() else "terminal"
                 elif last in _CLOSING and len(found) > 1 and found[-2] in _TERMINAL:

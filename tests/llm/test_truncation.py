@@ -49,6 +49,14 @@ def test_structures_broken_characters_nulls_and_blanks(spark):
     assert found(spark, []) == []
 
 
+def test_prose_after_a_closed_bracket_is_judged(spark):
+    rows, _ = corpus()
+    rows += [(10_000, "[Live] The singer argues with the organ while the others wai", "open", None), (10_001, "[Live] The drummer at the anniv", "open", None)]
+    rows += [(20_000, '[Live] The 12" improves the arrangement in the first chorus.', "open", None), (20_001, '{"a": [1]}' + chr(10) + '{"b": "}"}', "open", None), (20_002, "[1, 2]", "open", None)]
+    rows += [(10_002, '{"a": 1}' + chr(10) + '{"b": "x', "open", None)]
+    assert {r["doc_id"] for r in found(spark, rows) if r["doc_id"] >= 10_000} == {10_000, 10_001, 10_002}
+
+
 def test_copies_of_a_cut_text_are_cut_too(spark):
     rows, _ = corpus()
     rows += [(10_000 + i, "A guest leaves the stage for better or worse. The singer argues with the organ while the others wai", "open", None) for i in range(300)]
