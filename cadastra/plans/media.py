@@ -8,6 +8,7 @@ from cadastra.functions import numbers, vectors
 from cadastra.functions.text import edition_text
 from cadastra.operators import loudness, similarity
 from cadastra.operators.ranks import with_group_position
+from cadastra.session import shared_folder
 from cadastra.sources import table
 from cadastra.streaming import journal as streams
 
@@ -127,12 +128,7 @@ def ramp_entries(spark, d):
 
 
 def _root(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="cadastra-stream-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""WITH c AS (SELECT DISTINCT catalog_instance_id, epoch, seq, entity_type, entity_id, operation, old_entity_id FROM catalog_changes),

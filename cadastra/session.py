@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Copies of the small side, and parts of each key of the large side, in salted_join.
-SALTS = 8
+#: Least and most parts of a key in salted_join; in between, one for every SHARE shuffle partitions.
+FEWEST_SALTS, MOST_SALTS, SHARE = 8, 128, 8
 
 
 def local_session(cores: int | str = "*", app: str = "cadastra", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -49,16 +49,30 @@ def ship(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared checkpoint folder, so a lost executor never has it recomputed.
 
-    The folder is the one of the session's spark.checkpoint.dir. Only where none is set (tests on one machine) a
-    temporary one is made.
+    See shared_folder for the place.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cadastra-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Only on one machine (a local master) a temporary one is made where none is set; on a cluster that is an error, since
+    executors would write where the others cannot read.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cadastra-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """`df` in at least as many partitions as the cluster has cores.
 
@@ -73,15 +87,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salts(spark: SparkSession) -> int:
+    """Copies of the small side, and parts of each key of the large side, in salted_join: more on a larger cluster."""
+    return max(FEWEST_SALTS, min(MOST_SALTS, shuffle_partitions(spark) // SHARE))
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[Column], how: str = "inner") -> DataFrame:
-    """`big` joined with `small` on `on`, each key of `big` cut into SALTS parts by a hash of `spread`.
+    """`big` joined with `small` on `on`, each key of `big` cut into parts by a hash of `spread` (see salts).
 
-    One key may hold a third of the rows of `big`: its rows go to SALTS tasks instead of one, and adaptive execution may
-    split those again. `small` is copied SALTS times, so it should be the side with few rows per key (a verdict per
+    One key may hold a third of the rows of `big`: its rows go to so many tasks instead of one, and adaptive execution may
+    split those again. `small` is copied as often, so it should be the side with few rows per key (a verdict per
     key, a row per instance). how: inner, left_outer, left_semi or left_anti. Nulls in `on` match nothing. The part is a
     hash of row content, so a retried task computes the same.
     """
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("__salt", salts)
+    parts = salts(big.sparkSession)
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
