@@ -48,3 +48,26 @@ def test_empty_tables(spark):
     refs, parents = [("a", T(1), "1", 0)], [("a", T(1), 0, 0)]
     assert found(spark, [], parents) == found(spark, [], []) == []
     assert found(spark, refs, []) == ["1"]
+
+
+def test_deleted_parents_stay_in_the_dictionary_but_not_in_runs(spark):
+    rng = random.Random(5)
+    parents = [(f"k{i:03}", T(rng.randint(1, 20)), 0, 0) for i in range(200)]
+    gone = {f"k{i:03}" for i in range(0, 200, 3)}
+    refs = [(f"k{rng.randrange(220):03}", T(rng.randint(1, 20)), str(i), 0) for i in range(800)]
+    want = brute(refs, [p for p in parents if p[0] not in gone])
+    a = spark.createDataFrame(refs, REFS)
+    b = spark.createDataFrame(parents, PARENTS).select("key", F.when(~F.col("key").isin(*gone), F.col("since")).alias("since"), F.col("since").alias("seen"))
+    assert sorted(x["row"] for x in r.orphan_rows(a, b, ["key"], [F.col("row")]).collect()) == want
+    assert r.judged_rows(a, b, ["key"], [F.col("row")]).count() == len(refs)
+
+
+def test_credits_without_scope_and_items_of_both_fields(spark):
+    empty = lambda t: spark.createDataFrame([], t)
+    credits = spark.createDataFrame([(None, 1, "t", 0, "x", "a"), ("i", 1, "t", 0, "x", "a"), ("i", 2, "t", 0, "x", "a"), ("i", 1, "t", 1, None, "a")], "catalog_instance_id string, published_generation bigint, track_id string, position int, artist_id string, role string")
+    artists = spark.createDataFrame([("i", 1, "x", True), ("i", 2, "x", False)], "catalog_instance_id string, published_generation bigint, artist_id string, available boolean")
+    shape = "catalog_instance_id string, published_generation bigint, {} string, available boolean, first_seen_at timestamp_ntz"
+    tracks = spark.createDataFrame([("i", 1, "p", True, T(2)), ("i", 2, "q", True, T(2)), ("j", 1, "p", True, T(4))], shape.format("track_id"))
+    items = spark.createDataFrame([("1", "p", "p", T(5)), ("2", "p", None, T(3)), ("3", "q", None, T(2)), ("4", None, None, T(5)), ("5", "q", None, None)], "id string, track_id string, provider_album_id string, added_at timestamp_ntz")
+    got = {(x["src_field"], x["row_key"]) for x in r.dangling_references(artists, empty(shape.format("album_id")), tracks, credits, items).collect()}
+    assert got == {("artist_id", "1/t/0/a"), ("artist_id", "i/2/t/0/a"), ("provider_album_id", "1"), ("track_id", "2"), ("track_id", "5")}
