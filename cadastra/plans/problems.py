@@ -25,7 +25,7 @@ def p2_counts(spark, d):
 
 
 def p5_found(spark, d):
-    return changefeed.current_entities(table(spark, d, "catalog_changes"))
+    return p5_state(spark, d).select("catalog_instance_id", "entity_type", "entity_id", "seq")
 
 
 def p5_state(spark, d):

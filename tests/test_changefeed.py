@@ -52,3 +52,11 @@ def test_hot_entity(spark):
     rows = [("i", "e", 1, s, "upsert", "t", "hot", None, str(s), None, None) for s in range(500)] + [("i", "e", 1, 1000 + s, "upsert", "t", f"x{s}", None, None, None, None) for s in range(500)]
     got = c.current_entities(spark.createDataFrame(rows, SCHEMA).repartition(7), ["a"]).where("entity_id = 'hot'").first()
     assert (got["seq"], got["a"]) == (499, "499")
+
+
+def test_seq_is_a_column_like_the_others(spark):
+    rows = [("i", "e", 1, 5, "upsert", "t", "x", None, "a", None, None), ("i", "e", 1, 7, "delete", "t", "x", None, None, None, None), ("i", "e", 1, 3, "upsert", "t", "y", None, "b", "c", None), ("i", "e", 1, 9, "upsert", "t", "y", None, None, "d", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [tuple(x) for x in c.apply_changes(df, ["a", "b"]).collect()] == [("i", "t", "y", 9, None, "d")]
+    assert [tuple(x) for x in c.apply_changes(df, ["a", "b"], merge=True).collect()] == [("i", "t", "y", 9, "b", "d")]
+    assert [tuple(x) for x in c.apply_changes(df, []).collect()] == [("i", "t", "y", 9)]
