@@ -1,6 +1,7 @@
 """Session set-up, reliable checkpoints and skew-proof joins."""
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -73,6 +74,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """`df` computed once and written as a table in the shared folder, of which later reads take only the columns and parts they need.
+
+    by: columns of few values whose rows are kept apart, so that a filter on them reads no others. Rows are not shuffled.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """`df` in at least as many partitions as the cluster has cores.
 
