@@ -1,6 +1,7 @@
 """Duplicates hidden by formatting differences (problem 3)."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -8,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.session import checkpointed, salted_join, shuffle_partitions
+from cadastra.session import checkpointed, salted_join, stored
 
-#: Bits for each row, and the bound of the filters: 2**29 bits are 64 MB a filter, whatever the number of rows.
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 29
-MIN_BITS = 1 << 20
-PROBES = 4
-#: Bytes of a filter's segment, the unit in which filters are merged.
-SEGMENT = 1 << 14
+#: Bits for each hash, at every size, and the bits of a filter that are set for it.
+BITS_PER_ROW, PROBES = 8, 4
+#: Bits of a segment, the unit in which filters are merged (128 KB), and the most segments that are held at a time.
+SEGMENT_BITS, RANGE_SEGMENTS = 1 << 20, 512
+#: Hashes of a partition that are sorted by segment at a time.
+FILL = 1 << 20
 _NOT_CONTENT = r"[^\p{L}\p{M}\p{N}]"
 
 
@@ -42,10 +42,27 @@ def group_key(scope: list[str], content: Column) -> Column:
     return F.concat_ws("/", *parts, content)
 
 
+def n_segments(rows: int, segment_bits: int = SEGMENT_BITS) -> int:
+    """Segments of a filter of so many hashes: as many as BITS_PER_ROW asks for, so filters fill alike at every size."""
+    return max(1, -(-rows * BITS_PER_ROW // segment_bits))
+
+
+def _segment(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each hash, by its upper half; it rises with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+
+
+def segment_of(hash_: Column, segments: int) -> Column:
+    """_segment as a column of signed hashes."""
+    return F.shiftright(F.shiftrightunsigned(hash_, 32) * segments, 32)
+
+
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions of each hash, by double hashing of its halves."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-    return (low[:, None] + np.arange(PROBES, dtype=np.uint64)[None, :] * high[:, None]) & np.uint64(bits - 1)
+    """PROBES bit positions of each hash within its segment, by double hashing."""
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    low, step = mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) | np.uint64(1)
+    return (low[:, None] + np.arange(PROBES, dtype=np.uint64)[None, :] * step[:, None]) & np.uint64(bits - 1)
 
 
 def _has(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -57,55 +74,80 @@ def _set(filter_: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(filter_, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
 
 
-def repeat_filter(hashes: DataFrame, bits: int, repeated: bool = True) -> bytes:
-    """A Bloom filter of the 64-bit hashes that occur more than once (or of all, if not `repeated`); `hashes` has one bigint column.
+def filter_segments(hashes: DataFrame, segments: int, repeated: bool = True, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """segment, bits of a Bloom filter of the hashes that occur more than once (or of all, if not `repeated`).
 
-    Every partition fills two filters: one of hashes seen once, one of those seen again. Merged, a hash repeats if it
-    repeats in a part or was seen in both: again = again1 | again2 | (once1 & once2). No repeat is missed; some hashes
-    pass by chance. Filters are cut into segments, shuffled by segment and folded as a stream, one segment in memory.
-    The result has bits / 8 bytes, which bounds what reaches the driver and is broadcast.
+    hashes: one bigint column without NULLs. The space of hashes is cut into `segments` ranges with a filter each. Every
+    partition makes its part of each filter: the hashes it saw once and those it saw again. A part is sent as the hashes
+    that set it, which are fewer bytes than its bits as soon as there is more than one partition. Merged by segment, a hash
+    is seen again if a part saw it again or if it is in the filter of those seen before; so no repeat is missed and some
+    hashes pass by chance, as many of a thousand at every size. A task holds one segment's two filters. A hash with a
+    third of all rows is one value of each part. Segments with no bit set give no row.
     """
-    size = min(SEGMENT, bits // 8)
+    size = segment_bits // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again, any_ = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), False
+        waiting, n = [], 0
+
+        def parts() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(waiting).view(np.uint64), return_counts=True)
+            at = _segment(values, segments)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            ends = np.r_[first[1:], len(values)]
+            data = [[x[a:b].tobytes() for a, b in zip(first, ends)] for x in (values, counts > 1)]
+            return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), *(pa.array(x, pa.binary()) for x in data)], names=["segment", "seen", "again"])
+
         for batch in batches:
-            values, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_counts=True)
-            at, any_ = _positions(values, bits), True
-            _set(again, at[(counts > 1) | _has(once, at)])
-            _set(once, at)
-        if any_:
-            for k in np.flatnonzero(once.reshape(-1, size).any(axis=1)):
-                cut = slice(k * size, (k + 1) * size)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once[cut].tobytes()]), pa.array([again[cut].tobytes()])], names=["segment", "once", "again"])
+            waiting.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            n += len(batch)
+            if n >= FILL:
+                yield parts()
+                waiting, n = [], 0
+        if n:
+            yield parts()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, again = None, None, None
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([again.tobytes()])], names=["segment", "again"])
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([(again if repeated else once).tobytes()])], names=["segment", "bits"])
         for batch in batches:
-            for k, a, b in zip(*(batch.column(i) for i in range(3))):
-                k, a, b = k.as_py(), np.frombuffer(a.as_py(), np.uint8), np.frombuffer((b if repeated else a).as_py(), np.uint8)
-                if k != now:
-                    if now is not None and again.any():
+            for segment, seen, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if segment != now:
+                    if now is not None and (again if repeated else once).any():
                         yield row()
-                    now, once, again = k, a.copy(), b.copy()
-                else:
-                    again |= b | (once & a)
-                    once |= a
-        if now is not None and again.any():
+                    now, once, again = segment, np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+                at = _positions(np.frombuffer(seen, np.uint64), segment_bits)
+                if repeated:
+                    _set(again, at[np.frombuffer(twice, bool) | _has(once, at)])
+                _set(once, at)
+        if now is not None and (again if repeated else once).any():
             yield row()
 
-    parts = hashes.mapInArrow(fill, "segment int, once binary, again binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(fold, "segment int, again binary")
-    out = bytearray(bits // 8)
-    for k, again in merged.collect():
-        out[k * size : (k + 1) * size] = again
-    return bytes(out)
+    parts = hashes.mapInArrow(fill, "segment bigint, seen binary, again binary")
+    return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(fold, "segment bigint, bits binary")
 
 
-def filter_bits(rows: int) -> int:
-    """Bits of a filter for so many rows: a power of two, BITS_PER_ROW a row, within MIN_BITS and MAX_BITS."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_ROW * rows - 1).bit_length())) if rows else MIN_BITS
+class Range:
+    """The filter of one range of hashes: at most RANGE_SEGMENTS segments, which bounds what is collected and broadcast (64 MB)."""
+
+    def __init__(self, filters: DataFrame, number: int, segments: int, segment_bits: int, range_segments: int) -> None:
+        self.segments, self.bits, self.first = segments, segment_bits, number * range_segments
+        held, size = min(range_segments, segments - self.first), segment_bits // 8
+        data = np.zeros(held * size, np.uint8)
+        for k, bits in filters.where(F.col("segment").between(self.first, self.first + held - 1)).toLocalIterator():
+            at = (k - self.first) * size
+            data[at : at + size] = np.frombuffer(bits, np.uint8)
+        self.shared = filters.sparkSession.sparkContext.broadcast(data.tobytes())
+
+    def __contains__(self, value: int) -> bool:
+        return bool(self.has(np.array([value], np.int64).view(np.uint64))[0])
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether hashes (uint64) are in the filter; False for those of other ranges."""
+        data = np.frombuffer(self.shared.value, np.uint8)
+        at = _segment(hashes, self.segments).astype(np.int64) - self.first
+        own = (at >= 0) & (at < len(data) * 8 // self.bits)
+        positions = _positions(hashes, self.bits) + (np.where(own, at, 0) * self.bits).astype(np.uint64)[:, None]
+        return own & _has(data, positions)
 
 
 def keyed(items: DataFrame, item_id: str, scope: list[str], fields: list[str], paired: list[str] = ()) -> DataFrame:
@@ -113,20 +155,33 @@ def keyed(items: DataFrame, item_id: str, scope: list[str], fields: list[str], p
     return items.select(F.col(item_id).alias("__id"), *scope, group_key(scope, content_set(fields, paired)).alias("__key")).withColumn("__hash", F.xxhash64("__key"))
 
 
-def split_repeats(rows: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """`rows` of keyed() as (possible repeats, sure singletons); the first keep all true repeats."""
-    spark = rows.sparkSession
-    bits = bits or filter_bits(rows.count())
-    few = rows.select("__hash").coalesce(max(1, shuffle_partitions(spark)))
-    shared = spark.sparkContext.broadcast(repeat_filter(few, bits))
+def split_repeats(rows: DataFrame, n_rows: int, segment_bits: int = SEGMENT_BITS, range_segments: int = RANGE_SEGMENTS) -> tuple[DataFrame, DataFrame]:
+    """`rows` of keyed() as (possible repeats, sure singletons); the first keep all true repeats.
+
+    n_rows: about the number of rows, which the filters are sized by. The rows are written once, apart by range of their
+    hashes if there is more than one range; each range's rows are then asked for in their filter, where they are. So only
+    the hashes are shuffled, 8 bytes each, and of a corpus of any size one filter of bounded size is broadcast per range.
+    """
+    segments = n_segments(n_rows, segment_bits)
+    ranges = -(-segments // range_segments)
+    if ranges == 1:
+        kept = stored(rows)
+    else:
+        kept = stored(rows.withColumn("__range", F.floor(segment_of(F.col("__hash"), segments) / range_segments)), "__range")
+    filters = checkpointed(filter_segments(kept.select("__hash"), segments, True, segment_bits))
+
+    def judged(number: int) -> DataFrame:
+        filter_ = Range(filters, number, segments, segment_bits, range_segments)
+
+        @F.pandas_udf("boolean")
+        def repeats(hashes: pd.Series) -> pd.Series:
+            return pd.Series(filter_.has(hashes.to_numpy(np.int64).view(np.uint64)))
 
-    @F.pandas_udf("boolean")
-    def repeats(hashes: pd.Series) -> pd.Series:
-        at = _positions(hashes.to_numpy(np.int64).view(np.uint64), bits)
-        return pd.Series(_has(np.frombuffer(shared.value, np.uint8), at))
+        own = kept if ranges == 1 else kept.where(F.col("__range") == number).drop("__range")
+        return own.withColumn("__again", repeats("__hash"))
 
-    judged = rows.withColumn("__again", repeats("__hash"))
-    return judged.where("__again").drop("__again"), judged.where("NOT __again").drop("__again")
+    all_ = reduce(DataFrame.unionByName, map(judged, range(ranges)))
+    return all_.where("__again").drop("__again"), all_.where("NOT __again").drop("__again")
 
 
 def copy_groups(possible: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,24 +190,24 @@ def copy_groups(possible: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, items.groupBy("__key").agg(F.min("__id").alias("keep_id"), F.count("*").alias("n_copies"))
 
 
-def formatting_copies(items: DataFrame, item_id: str, scope: list[str], fields: list[str], paired: list[str] = (), bits: int | None = None) -> DataFrame:
+def formatting_copies(items: DataFrame, item_id: str, scope: list[str], fields: list[str], paired: list[str] = (), **sizes: int) -> DataFrame:
     """keep_id, copy_id: each item that repeats another of its scope but for formatting, with the smallest id of its set.
 
     Items are equal if the sets of their reduced values are (see content_set). Rows repeated with the same id are one
     item. Sets of values that are all empty are equal too. A row without id names no item and is left out; an id that
-    comes with several contents is an item in each. Only possible repeats (see repeat_filter) are shuffled, for exact
+    comes with several contents is an item in each. Only possible repeats (see filter_segments; `sizes` are its parameters) are shuffled, for exact
     grouping on the text itself. A set with a third of all items is one row after partial aggregation; joining its
     members to it is salted by id.
     """
-    possible, _ = split_repeats(keyed(items, item_id, scope, fields, paired), bits)
+    possible, _ = split_repeats(keyed(items, item_id, scope, fields, paired), items.count(), **sizes)
     members, groups = copy_groups(checkpointed(possible.select("__key", "__id")))
     pairs = salted_join(members, groups.where("n_copies > 1"), ["__key"], [F.col("__id")])
     return pairs.where("__id <> keep_id").select("keep_id", F.col("__id").alias("copy_id"))
 
 
-def collapsed(items: DataFrame, item_id: str, scope: list[str], fields: list[str], paired: list[str] = (), bits: int | None = None) -> DataFrame:
+def collapsed(items: DataFrame, item_id: str, scope: list[str], fields: list[str], paired: list[str] = (), **sizes: int) -> DataFrame:
     """One row per set of equal items: `scope`, keep_id (the smallest id), n_copies (distinct ids); singletons included."""
-    possible, single = split_repeats(keyed(items, item_id, scope, fields, paired), bits)
+    possible, single = split_repeats(keyed(items, item_id, scope, fields, paired), items.count(), **sizes)
     grouped = possible.where("__id is not null").select(*scope, "__key", "__id").distinct().groupBy("__key", *scope).agg(F.min("__id").alias("keep_id"), F.count("*").alias("n_copies"))
     alone = single.where("__id is not null").select(*scope, F.col("__id").alias("keep_id"), F.lit(1).cast("bigint").alias("n_copies"))
     return grouped.select(*scope, "keep_id", "n_copies").unionByName(alone)

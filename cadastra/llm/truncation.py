@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.copies import _has, _positions, filter_bits, repeat_filter
+from cadastra.llm.copies import Range, filter_segments, n_segments
 from cadastra.session import checkpointed, salted_join, spread
 
 #: Contexts of a token, from the most to the least specific: the words before it with its class, or with itself.

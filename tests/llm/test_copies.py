@@ -1,8 +1,9 @@
 import random
-import re
 import unicodedata
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadastra.llm import copies
 
@@ -41,12 +42,12 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("bits", [1 << 20, 1 << 14])
-def test_pairs_and_counts(spark, bits):
+@pytest.mark.parametrize("sizes", [{}, {"segment_bits": 1 << 5, "range_segments": 2}, {"segment_bits": 1 << 6, "range_segments": 1}])
+def test_pairs_and_counts(spark, sizes):
     df = spark.createDataFrame(CASES, FIELDS).repartition(5)
     pairs, counts = brute(CASES)
-    assert {tuple(r) for r in copies.formatting_copies(df, *ARGS, bits=bits).collect()} == pairs
-    assert sorted((r["keep_id"], r["n_copies"]) for r in copies.collapsed(df, *ARGS, bits=bits).collect()) == counts
+    assert {tuple(r) for r in copies.formatting_copies(df, *ARGS, **sizes).collect()} == pairs
+    assert sorted((r["keep_id"], r["n_copies"]) for r in copies.collapsed(df, *ARGS, **sizes).collect()) == counts
 
 
 def test_hot_group_and_random_rows(spark):
@@ -68,14 +69,39 @@ def test_empty_table_and_clashing_columns(spark):
     assert [tuple(r) for r in copies.formatting_copies(clash, "id", ["principal", "kind"], ["title"]).collect()] == [("a", "b")]
 
 
-def test_filter_keeps_all_repeats(spark):
-    values = list(range(3000)) + list(range(0, 3000, 7))
-    df = spark.createDataFrame([(v * 0x9E3779B97F4A7C15 % (1 << 63),) for v in values], "h bigint").repartition(6)
-    bits = copies.repeat_filter(df, 1 << 18)
-    import numpy as np
-
-    filter_ = np.frombuffer(bits, np.uint8)
-    seen = lambda v: copies._has(filter_, copies._positions(np.array([v * 0x9E3779B97F4A7C15 % (1 << 63)], np.int64).view(np.uint64), 1 << 18))[0]
-    assert all(seen(v) for v in range(0, 3000, 7))
-    assert sum(bool(seen(v)) for v in range(3000)) < 600
-    assert re.fullmatch(r"\d+", str(copies.filter_bits(1_000_000_000_000))) and copies.filter_bits(10**12) == copies.MAX_BITS
+def test_random_rows_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [(f"id{i:05}", "p", "track", f"title {rng.randrange(900)}{rng.choice(['', ' ', '!'])}", None, None, None, None) for i in range(1500)]
+    df = spark.createDataFrame(rows, FIELDS).repartition(3)
+    pairs, counts = brute(rows)
+    sizes = {"segment_bits": 1 << 10, "range_segments": 3}
+    assert copies.n_segments(1500, 1 << 10) > 9
+    assert {tuple(r) for r in copies.formatting_copies(df, *ARGS, **sizes).collect()} == pairs
+    assert sorted((r["keep_id"], r["n_copies"]) for r in copies.collapsed(df, *ARGS, **sizes).collect()) == counts
+
+
+def passed(spark, n, repeats, segment_bits=1 << 13, range_segments=4):
+    """(repeats not found, share of singletons that pass) for n distinct hashes of which the first `repeats` come twice."""
+    hashes = spark.range(n).unionByName(spark.range(repeats)).select(F.xxhash64("id").alias("h")).repartition(8)
+    segments = copies.n_segments(n + repeats, segment_bits)
+    filters = copies.filter_segments(hashes, segments, True, segment_bits).cache()
+    values = np.array([r["h"] for r in spark.range(n).select(F.xxhash64("id").alias("h")).collect()], np.int64).view(np.uint64)
+    found = np.zeros(n, bool)
+    for number in range(-(-segments // range_segments)):
+        found |= copies.Range(filters, number, segments, segment_bits, range_segments).has(values)
+    filters.unpersist()
+    return int((~found[:repeats]).sum()), float(found[repeats:].mean())
+
+
+def test_the_share_of_singletons_that_pass_does_not_grow(spark):
+    shares = []
+    for n in (2_000, 20_000, 200_000):
+        missed, share = passed(spark, n, n // 10)
+        assert missed == 0
+        shares.append(share)
+    assert max(shares) < 0.02 and abs(shares[-1] - shares[1]) < 0.005
+
+
+def test_segments_in_the_jvm_and_in_batches_agree(spark):
+    rows = spark.range(500).select(F.xxhash64("id").alias("h")).withColumn("s", copies.segment_of(F.col("h"), 37)).collect()
+    assert copies._segment(np.array([r["h"] for r in rows], np.int64).view(np.uint64), 37).tolist() == [r["s"] for r in rows]
