@@ -1,29 +1,50 @@
 """Text cut off by field limits or in transfer (problem 8)."""
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.copies import Range, filter_segments, n_segments
-from cadastra.session import checkpointed, salted_join, spread
+from cadastra.llm.copies import RANGE_SEGMENTS, SEGMENT_BITS, Range, filter_segments, n_segments
+from cadastra.session import checkpointed, salted_join, salts, spread
 
 #: Contexts of a token, from the most to the least specific: the words before it with its class, or with itself.
 LEVELS = 5
-#: A context counts from so many other occurrences on.
-SUPPORT = 8
-#: A known word is at least 1/RARE as frequent as the most frequent word that goes on from it.
-RARE = 100
-#: A field limit is reached by so many texts, so many times the usual number of texts of one length.
-LIMIT_TEXTS, LIMIT_PEAK = 5, 8
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """When evidence counts. Occurrences are those in other, different texts, so copies of any text change nothing."""
+
+    support: int = 8  #: occurrences from which on a context counts
+    rare: int = 100  #: a known word is at least 1/rare as frequent as the most frequent word that goes on from it
+    ends: float = 0.2  #: a complete end: so many of the occurrences of its context end a text,
+    stops: float = 0.8  #: or so many end a line or text, of them a text at least
+    some: float = 0.01  #: so many, give or take two
+    sure: float = 0.5  #: an end that even a partial word or a limit does not make doubtful
+    after_stop: float = 0.02  #: an abbreviation's point is no stop if so few of its occurrences are,
+    short_support: int = 50  #: of at least so many
+    limit_texts: int = 5  #: a field limit is reached by so many different texts,
+    limit_peak: int = 8  #: so many times the usual number of texts of one length,
+    limit_longer: float = 0.002  #: and at most so many of the source's texts are longer
+    shortest_limit: int = 50  #: no limit is sought below
+    phrase_tokens: int = 12  #: a text of so few tokens
+    phrase_copies: int = 9  #: that came so often is a phrase of its own
+
+
+DEFAULT = Thresholds()
 #: Parts of texts between spaces that are counted at a time; bounds memory, not texts.
 _CHUNK = 1_000_000
 _TERMINAL, _CLOSING = ".!?。！？…｡", "\"\u201d»)]}」』\u2019'"
 _START = 0x9E3779B97F4A7C15
+#: Ends that need not be the text's, which contexts decide.
+_OPEN = ("word", "other", "abbreviation")
 
 
 #: White space and characters without width that may follow the end of a text, for Arrow's regular expressions.
@@ -136,10 +157,11 @@ def _structure(text: str) -> str | None:
 def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How every text ends: doc, source, text_key, sizes, last token, kind of end and the keys of its contexts.
 
-    Texts without any token (NULL, empty, blank) have a NULL `last`. text_key tells texts apart (hash and length).
+    Texts without any token (NULL, empty, blank) have a NULL `last`. text_key tells texts apart (hash and length). n_last is the
+    number of last tokens looked at: all of a text that has fewer than 20.
     """
     ids, sources = (docs.schema[c].dataType.simpleString() for c in (doc_id, source))
-    schema = f"doc {ids}, source {sources}, text_key string, n_chars bigint, n_bytes bigint, n_tokens bigint, last string, ending string, contexts array<bigint>"
+    schema = f"doc {ids}, source {sources}, text_key string, n_chars bigint, n_bytes bigint, n_last bigint, last string, ending string, contexts array<bigint>"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -172,46 +194,65 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
             contexts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds)), contexts],
-                names=["doc", "source", "text_key", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts"],
+                names=["doc", "source", "text_key", "n_chars", "n_bytes", "n_last", "last", "ending", "contexts"],
             )
 
     return docs.select(doc_id, source, text).mapInArrow(describe, schema)
 
 
-def wanted_contexts(ends: DataFrame, bits: int | None = None) -> bytes:
-    """A Bloom filter of the contexts in which texts end; its size is bounded as filter_bits says."""
-    keys = ends.select(F.explode("contexts").alias("key"))
-    return repeat_filter(keys, bits or filter_bits(LEVELS * ends.count()), repeated=False)
+def wanted_contexts(ends: DataFrame, segment_bits: int = SEGMENT_BITS, range_segments: int = RANGE_SEGMENTS) -> list[Range]:
+    """Bloom filters of the contexts in which texts end openly, one for each range of keys; each of bounded size."""
+    keys = checkpointed(ends.where(F.col("ending").isin(*_OPEN)).select(F.explode("contexts").alias("key")).distinct())
+    segments = n_segments(keys.count(), segment_bits)
+    filters = checkpointed(filter_segments(keys, segments, False, segment_bits))
+    return [Range(filters, k, segments, segment_bits, range_segments) for k in range(-(-segments // range_segments))]
+
 
+def different_texts(docs: DataFrame, text: str = "text", segment_bits: int = SEGMENT_BITS, range_segments: int = RANGE_SEGMENTS) -> DataFrame:
+    """`text` of every different text once. Only texts whose hash may repeat are shuffled, the others stay where they are."""
+    keys = docs.where(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("__hash"))
+    segments = n_segments(docs.count(), segment_bits)
+    filters = checkpointed(filter_segments(keys.select("__hash"), segments, True, segment_bits))
+    ranges = [Range(filters, k, segments, segment_bits, range_segments) for k in range(-(-segments // range_segments))]
 
-def corpus_counts(docs: DataFrame, text: str = "text", wanted: bytes | None = None) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def repeats(hashes: pd.Series) -> pd.Series:
+        values = hashes.to_numpy(np.int64).view(np.uint64)
+        return pd.Series(reduce(np.logical_or, (r.has(values) for r in ranges)))
+
+    asked = keys.withColumn("__again", repeats("__hash"))
+    return asked.where("NOT __again").select(text).unionByName(asked.where("__again").select(text).distinct())
+
+
+def corpus_counts(docs: DataFrame, text: str = "text", wanted: list[Range] | None = None) -> DataFrame:
     """word (NULL for a context), key (NULL for a word), n, n_stop, n_end over all tokens of all texts.
 
-    Contexts that do not pass the filter `wanted` are left out before the shuffle: no text ends in them. The filter lets
-    through all that are wanted and, the fuller it is, others, which only cost.
+    Contexts that do not pass a filter of `wanted` are left out before the shuffle: no text ends openly in them. Filters fill
+    alike at every size, so about as few others pass; of a corpus whose filters are more than one range the texts are read once a range.
 
     Words count where something follows them. Contexts count all their tokens, those before a line or text end (n_stop)
     and those that end a text (n_end). Combined in every batch, then by partial aggregation, then by word or key.
     """
 
-    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+    def counter(asked: Range | None, with_words: bool):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, list[str]] = {}
+            for batch in batches:
+                lists = pc.split_pattern(pc.replace_substring_regex(pc.drop_null(batch.column(0)), _AFTER, ""), " ")
+                at, rows, first = lists.offsets.to_numpy(), len(lists), 0
+                while first < rows:  # as many texts as have _CHUNK parts together, one at least
+                    after = max(first + 1, int(np.searchsorted(at, at[first] + _CHUNK, side="right")) - 1)
+                    yield from _counted(lists.slice(first, after - first), known, asked, with_words)
+                    first = after
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        asked = None if shared is None else np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            lists = pc.split_pattern(pc.replace_substring_regex(pc.drop_null(batch.column(0)), _AFTER, ""), " ")
-            at, rows, first = lists.offsets.to_numpy(), len(lists), 0
-            while first < rows:  # as many texts as have _CHUNK parts together, one at least
-                after = max(first + 1, int(np.searchsorted(at, at[first] + _CHUNK, side="right")) - 1)
-                yield from _counted(lists.slice(first, after - first), known, asked)
-                first = after
+        return count
 
-    parts = docs.select(text).mapInArrow(count, "word string, key bigint, n bigint, n_stop bigint, n_end bigint")
-    return parts.groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_end")])
+    schema = "word string, key bigint, n bigint, n_stop bigint, n_end bigint"
+    parts = [docs.select(text).mapInArrow(counter(asked, k == 0), schema) for k, asked in enumerate(wanted or [None])]
+    return reduce(DataFrame.unionByName, parts).groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_end")])
 
 
-def _counted(texts: pa.ListArray, known: dict[str, list[str]], asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _counted(texts: pa.ListArray, known: dict[str, list[str]], asked: Range | None, with_words: bool) -> Iterator[pa.RecordBatch]:
     """Counts of the words and contexts of some texts, each a list of parts; known: tokens of parts seen before; asked: the filter."""
     names = ["word", "key", "n", "n_stop", "n_end"]
     coded = texts.flatten().dictionary_encode()
@@ -251,8 +292,10 @@ def _counted(texts: pa.ListArray, known: dict[str, list[str]], asked: np.ndarray
         n = np.diff(np.r_[first, len(ordered)])
         n_stop, n_end = (np.add.reduceat(flags[order].astype(np.int64), first) for flags in (stop, end))
         found = ordered[first]
-        kept = np.flatnonzero(_has(asked, _positions(found, 8 * len(asked)))) if asked is not None else np.arange(len(found))
+        kept = np.flatnonzero(asked.has(found)) if asked is not None else np.arange(len(found))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(kept), pa.string()), *(pa.array(x[kept].astype(np.int64)) for x in (found, n, n_stop, n_end))], names=names)
+    if not with_words:
+        return
     inner = np.bincount(codes[~end], minlength=len(words))
     zero = pa.array(np.zeros(len(words), np.int64))
     yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(words), pa.int64()), pa.array(inner.astype(np.int64)), zero, zero], names=names)
@@ -261,15 +304,17 @@ def _counted(texts: pa.ListArray, known: dict[str, list[str]], asked: np.ndarray
 def prefix_lookup(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, n, longest_n: of every asked word its own count and the largest count of a longer word that begins with it.
 
-    asked: word (distinct). vocabulary: word, n (distinct). The trie of the vocabulary is walked depth first, a shard for
-    each first two characters: sorted words are its nodes in that order, and only the asked words on the current path
-    are kept, so memory does not grow with the vocabulary. One-character words span shards and get the maximum of their
-    first character by aggregation.
+    asked: word (distinct). vocabulary: word, n (distinct). The trie of the vocabulary is walked depth first in shards:
+    sorted words are its nodes in that order, and only the asked words on the current path are kept, so memory does not
+    grow with the vocabulary. A shard has the words of two first characters and of one salt, a hash of the word; asked words
+    are read by all salts and take the largest counts, so the commonest first characters are as many shards as the
+    cluster's size asks for. One-character words span shards and get the maximum of their first character by aggregation.
     """
+    parts = salts(vocabulary.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path: list[list] = []  # [word, own count, largest count beyond] of the asked words on the path
-        seen, count, done = None, 0, []
+        seen, count, at, done = None, 0, None, []
 
         def leave() -> None:
             word, own, beyond = path.pop()
@@ -278,9 +323,11 @@ def prefix_lookup(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 path[-1][2] = max(path[-1][2], beyond)
 
         for batch in batches:
-            for word, n, is_asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                while path and not word.startswith(path[-1][0]):
+            for word, n, is_asked, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                while path and (part != at or not word.startswith(path[-1][0])):
                     leave()
+                if part != at:
+                    seen, at = None, part
                 if is_asked:
                     path.append([word, count if seen == word else 0, 0])
                 else:
@@ -295,9 +342,11 @@ def prefix_lookup(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
         if done:
             yield _looked_up(done)
 
-    rows = vocabulary.select("word", "n", F.lit(False).alias("asked")).unionByName(asked.select("word", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")))
-    sharded = rows.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word", "asked")
-    deep = sharded.mapInArrow(walk, "word string, n bigint, longest_n bigint")
+    part = F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    rows = vocabulary.select("word", "n", F.lit(False).alias("asked"), part).unionByName(asked.select("word", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked"), every))
+    sharded = rows.repartition(F.substring("word", 1, 2), "part").sortWithinPartitions("part", "word", "asked").select("word", "n", "asked", "part")
+    deep = sharded.mapInArrow(walk, "word string, n bigint, longest_n bigint").groupBy("word").agg(F.max("n").alias("n"), F.max("longest_n").alias("longest_n"))
     firsts = vocabulary.where(F.char_length("word") > 1).groupBy(F.substring("word", 1, 1).alias("word")).agg(F.max("n").alias("__first"))
     return deep.join(firsts, "word", "left").select("word", "n", F.greatest("longest_n", F.coalesce("__first", F.lit(0))).alias("longest_n"))
 
@@ -307,17 +356,17 @@ def _looked_up(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words), pa.array(own, pa.int64()), pa.array(beyond, pa.int64())], names=["word", "n", "longest_n"])
 
 
-def field_limits(ends: DataFrame) -> DataFrame:
-    """source, unit (chars or bytes), limit: lengths at which a source cuts its texts.
+def field_limits(texts: DataFrame, by: Thresholds = DEFAULT) -> DataFrame:
+    """source, unit (chars or bytes), limit: lengths at which a source cuts its texts; texts: a row for each different text of a source.
 
-    A limit is the peak of the longest lengths of a source that LIMIT_TEXTS texts share: at most 1 in 500 texts is
-    longer, and the peak is LIMIT_PEAK times the mean of the lengths from half of it on. A row per source and length at
-    most goes through the windows, not the texts.
+    A limit is the peak of the longest lengths of a source that by.limit_texts texts share: at most by.limit_longer of the
+    texts are longer, and the peak is by.limit_peak times the mean of the lengths from half of it on. A row per source and
+    length at most goes through the windows, not the texts.
     """
     sizes = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length"))))
-    lengths = ends.where("last is not null").select("source", sizes.alias("s")).groupBy("source", "s.unit", "s.length").agg(F.count("*").alias("n"))
+    lengths = texts.select("source", sizes.alias("s")).groupBy("source", "s.unit", "s.length").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("source", "unit")
-    top = lengths.withColumn("top", F.max(F.when((F.col("n") >= LIMIT_TEXTS) & (F.col("length") >= 50), F.col("length"))).over(whole))
+    top = lengths.withColumn("top", F.max(F.when((F.col("n") >= by.limit_texts) & (F.col("length") >= by.shortest_limit), F.col("length"))).over(whole))
     peak = top.withColumn("limit", F.max(F.when(F.col("length").between(F.col("top") - 5, F.col("top")), F.struct("n", "length"))).over(whole))
     lo, hi = F.floor(F.col("limit.length") / 2), F.col("limit.length") - 5
     judged = peak.groupBy("source", "unit", "limit").agg(
@@ -325,19 +374,19 @@ def field_limits(ends: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("length") > F.col("limit.length") + 3, F.col("n")).otherwise(0)).alias("longer"),
         (F.sum(F.when((F.col("length") >= lo) & (F.col("length") < hi), F.col("n")).otherwise(0)) / (F.max(hi) - F.max(lo))).alias("usual"),
     )
-    real = (F.col("longer") * 500 <= F.col("all")) & (F.col("limit.n") >= LIMIT_PEAK * F.col("usual")) & (F.col("limit.n") >= LIMIT_TEXTS)
+    real = (F.col("longer") <= by.limit_longer * F.col("all")) & (F.col("limit.n") >= by.limit_peak * F.col("usual")) & (F.col("limit.n") >= by.limit_texts)
     return judged.where(real).select("source", "unit", F.col("limit.length").alias("limit"))
 
 
-def _verdict() -> Column:
+def _verdict(by: Thresholds) -> Column:
     """Why a text counts as cut, from its end, limit, last word and contexts; NULL if it does not."""
     n, stop, end = ([F.col(f"level{k}.{c}") for k in range(LEVELS)] for c in ("n", "n_stop", "n_end"))
-    # other texts only: a short text that many sent is a phrase of its own, else all its copies are left out; those of a doubtful text already are
-    own = F.when(F.col("doubtful"), 0).when((F.col("copies") >= 5) & (F.col("n_tokens") <= 12), 1).otherwise(F.col("copies"))
+    # other texts only: a doubtful text is left out of the counts already
+    own = F.when(F.col("any_doubtful"), 0).otherwise(1)
     n, stop, end = ([x - own for x in xs] for xs in (n, stop, end))
-    known = [F.coalesce(x >= SUPPORT, F.lit(False)) for x in n]
-    ends = [(e >= 0.2 * x) | ((s >= 0.8 * x) & ((e >= 0.01 * x) | (x < 200))) for x, s, e in zip(n, stop, end)]
-    often = [e >= 0.5 * x for x, e in zip(n, end)]
+    known = [F.coalesce(x >= by.support, F.lit(False)) for x in n]
+    ends = [(e >= by.ends * x) | ((s >= by.stops * x) & (e + 2 > by.some * x)) for x, s, e in zip(n, stop, end)]
+    often = [e >= by.sure * x for x, e in zip(n, end)]
 
     def judged(each: list[Column]) -> Column:
         """By the two most specific contexts if known, either is enough; else by the most specific known one."""
@@ -348,66 +397,65 @@ def _verdict() -> Column:
 
     sure = F.coalesce(judged(often), F.lit(False))
     open_end = F.col("ending").isin("word", "other")
-    short = (F.col("ending") == "abbreviation") & (n[3] >= 50) & (stop[3] < 0.02 * n[3])
+    phrase = (F.col("copies") >= by.phrase_copies) & (F.col("n_last") <= by.phrase_tokens) & ~F.col("doubtful")
+    short = (F.col("ending") == "abbreviation") & (n[3] >= by.short_support) & (stop[3] < by.after_stop * n[3])
     return (
         F.when(F.col("ending") == "broken", "character")
         .when(F.col("ending") == "open structure", "structure")
         .when(open_end & F.col("partial") & ~sure, "word")
         .when(open_end & F.col("at_limit") & ~sure, "limit")
-        .when(open_end & ~judged(ends), "sentence")
+        .when(open_end & ~phrase & ~judged(ends), "sentence")
         .when(short, "sentence")
     )
 
 
-def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", by: Thresholds = DEFAULT) -> DataFrame:
     """doc_id, source, evidence of every document whose text was cut.
 
     evidence: `character` (ends in a broken character), `structure` (brackets or strings stay open), `word` (the last
-    word is unknown and a proper prefix of known words), `limit` (the length is its source's field limit and the end is
-    open), `sentence` (its last words are elsewhere nearly always followed by more). Only ends without final punctuation
-    are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is complete. Ends that may be cuts
-    themselves (broken, inside a structure, an open end in a partial word or at a limit) vouch for no text. Copies
-    of a text say nothing about it, but a text of at most 12 tokens that came five times or more is a phrase of its own
-    and does, unless its own end may be a cut. NULL, empty and
-    blank texts are not cut. Every row is judged, rows repeated too; NULL sources are one source.
-
-    Whole texts are read twice: for their ends and for the counts of words and contexts over all texts. Then only short
+    word is unknown, or rare beside its continuations, and a proper prefix of known words), `limit` (the length is its source's
+    field limit and the end is open), `sentence` (its last words are elsewhere nearly always followed by more). Only ends
+    without final punctuation are open; an end that others of its kind share (sign-offs, tags, headings, log lines) is
+    complete. Ends that may be cuts themselves (broken, inside a structure, an open end in a partial word or at a limit)
+    vouch for no text. Words, contexts and limits are counted over different texts, so copies of other texts change no
+    verdict; a text of few tokens that came often is a phrase of its own and complete, unless its end may be a cut (see
+    Thresholds). NULL, empty and blank texts are not cut. Every row is judged, rows repeated too; NULL sources are one
+    source. Runs its jobs when called.
+
+    Whole texts are read for their ends, for their hashes and for the counts of words and contexts over all texts. Then only short
     rows are shuffled: distinct contexts meet their counts once, and texts that share a context or are copies of each
     other (a third may be) are joined to it with salts.
     """
     docs = spread(docs.select(doc_id, text, source), doc_id)
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     ends = checkpointed(endings(docs, doc_id, text, source))
-    counts = checkpointed(corpus_counts(docs, text, wanted_contexts(ends)))
-    texts = ends.where("last is not null").groupBy("text_key", "source", "n_chars", "n_bytes", "n_tokens", "last", "ending", "contexts").agg(F.count("*").alias("copies"))
-    texts = checkpointed(texts.withColumn("text_id", F.xxhash64("text_key", "source")))
+    counts = checkpointed(corpus_counts(different_texts(docs, text), text, wanted_contexts(ends)))
+    about = ["n_chars", "n_bytes", "n_last", "last", "ending", "contexts"]
+    texts = checkpointed(ends.where("last is not null").groupBy("text_key", "source", *about).agg(F.count("*").alias("copies")).withColumn("__source", named))
 
     looked_up = prefix_lookup(texts.where("ending = 'word'").select(F.col("last").alias("word")).distinct(), counts.where("word is not null").select("word", "n"))
-    limits = field_limits(ends)
-    by_unit = limits.groupBy("source").agg(*[F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"limit_{u}") for u in ("chars", "bytes")]).withColumnRenamed("source", "__source")
+    limits = field_limits(texts, by).withColumn("__source", named)
+    by_unit = limits.groupBy("__source").agg(*[F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"limit_{u}") for u in ("chars", "bytes")])
     at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce((F.col("n_bytes") - F.col("limit_bytes")).between(-3, 2), F.lit(False))
     # sources are few and any may be hot: their limits are copied to every salt
-    named = texts.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))
-    limited = salted_join(named, by_unit.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("-"))), ["__source"], [F.col("text_id")], "left_outer")
+    limited = salted_join(texts, by_unit, ["__source"], [F.col("text_key")], "left_outer")
     words = looked_up.select(F.col("word").alias("last"), F.col("n").alias("own_n"), "longest_n")
-    partial = F.coalesce((F.col("ending") == "word") & (F.col("longest_n") > 0) & (F.col("own_n") * RARE <= F.col("longest_n")), F.lit(False))
+    partial = F.coalesce((F.col("ending") == "word") & (F.col("longest_n") > 0) & (F.col("own_n") * by.rare <= F.col("longest_n")), F.lit(False))
     doubtful = F.col("ending").isin("broken", "open structure") | (F.col("ending").isin("word", "other") & (F.col("partial") | F.col("at_limit")))
-    spelled = salted_join(limited.withColumn("at_limit", at_limit), words, ["last"], [F.col("text_id")], "left_outer")
+    spelled = salted_join(limited.withColumn("at_limit", at_limit), words, ["last"], [F.col("text_key")], "left_outer")
     flagged = checkpointed(spelled.withColumn("partial", partial).withColumn("doubtful", doubtful))
 
-    asked = flagged.select("text_id", "text_key", "source", F.when(F.col("doubtful"), F.col("copies")).otherwise(0).alias("n_cut"), F.posexplode("contexts").alias("level", "key"))
-    others = [(F.col(c) - F.col("n_cut")).alias(c) for c in ("n", "n_stop", "n_end")]
-    needed = counts.where("key is not null").join(asked.groupBy("key").agg(F.sum("n_cut").alias("n_cut")), "key").select("key", *others)
-    met = salted_join(asked.drop("n_cut"), needed, ["key"], [F.col("text_id")])
+    different = flagged.groupBy("text_key", "ending", "contexts").agg(F.bool_or("doubtful").alias("any_doubtful"))
+    asked = different.select("text_key", "ending", "any_doubtful", F.posexplode("contexts").alias("level", "key"))
+    doubt = asked.where("any_doubtful").groupBy("key").agg(F.count("*").alias("n_cut"))
+    others = [(F.col(c) - F.coalesce("n_cut", F.lit(0))).alias(c) for c in ("n", "n_stop", "n_end")]
+    needed = counts.where("key is not null").join(doubt, "key", "left").select("key", *others)
+    met = salted_join(asked.where(F.col("ending").isin(*_OPEN)), needed, ["key"], [F.col("text_key")])
     levels = [F.max(F.when(F.col("level") == k, F.struct("n", "n_stop", "n_end"))).alias(f"level{k}") for k in range(LEVELS)]
-    levelled = met.groupBy("text_id", "text_key").agg(*levels)
+    levelled = met.groupBy("text_key").agg(F.bool_or("any_doubtful").alias("any_doubtful"), *levels)
 
-    judged = (
-        flagged.join(levelled, ["text_id", "text_key"], "left")
-        .withColumn("evidence", _verdict())
-        .where("evidence is not null")
-        .select("text_key", F.col("__source"), "evidence")
-    )
-    rows = ends.where("last is not null").withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))
+    judged = flagged.join(levelled, "text_key", "left").withColumn("evidence", _verdict(by)).where("evidence is not null").select("text_key", "__source", "evidence")
+    rows = ends.where("last is not null").withColumn("__source", named)
     found = salted_join(rows, judged, ["text_key", "__source"], [F.col("doc")])
     return found.select(F.col("doc").alias(doc_id), F.col("source").alias(source), "evidence")
 

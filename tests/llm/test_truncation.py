@@ -101,9 +101,9 @@ def test_prefix_lookup_against_brute_force(spark):
 
 @pytest.mark.parametrize("n_long", [0, 40])
 def test_limits_need_a_peak(spark, n_long):
-    rows = [(i, "x" * (60 + i % 50), "s", None) for i in range(400)] + [(1000 + i, "é" * 150, "s", None) for i in range(n_long)]
-    limits = truncation.field_limits(truncation.endings(spark.createDataFrame(rows, SCHEMA))).collect()
-    assert {(r["unit"], r["limit"]) for r in limits} == ({("chars", 150), ("bytes", 300)} if n_long else set())
+    rows = [(i, f"{i:04}" + "x" * (56 + i % 50), "s", None) for i in range(400)] + [(1000 + i, f"{i:02}" + "é" * 148, "s", None) for i in range(n_long)]
+    limits = truncation.field_limits(truncation.endings(spark.createDataFrame(rows, SCHEMA)).dropDuplicates(["text_key"])).collect()
+    assert {(r["unit"], r["limit"]) for r in limits} == ({("chars", 150), ("bytes", 298)} if n_long else set())
 
 
 def test_very_long_text(spark):
@@ -125,3 +125,35 @@ def test_last_tokens_are_those_of_the_whole_text():
         whole, last = truncation.tokens(text.rstrip(truncation._patterns()[2])), truncation.last_tokens(text)
         assert whole[-len(last) :] == last if last else not whole
         assert len(last) >= min(20, len(whole))
+
+
+def test_copies_of_other_texts_change_no_verdict(spark):
+    rows, _ = corpus()
+    # "notes" are phrases by their copies and are judged by contexts alone without them
+    rows = [r for r in rows if r[2] != "notes"]
+    before = {(r["doc_id"], r["evidence"]) for r in found(spark, rows)}
+    copies = [(100_000 + 10 * r[0] + k, *r[1:]) for r in rows for k in range(3) if len(r[1]) > 100]
+    assert {(r["doc_id"], r["evidence"]) for r in found(spark, rows + copies) if r["doc_id"] < 100_000} == before
+
+
+def test_counts_do_not_depend_on_ranges(spark):
+    rows, _ = corpus(n=300)
+    docs = spark.createDataFrame([*rows, *rows[:50], (1, None, "open", None)], SCHEMA).repartition(3)
+    small = {"segment_bits": 1 << 8, "range_segments": 1}
+    texts = truncation.different_texts(docs, "text", **small)
+    assert sorted(r["text"] for r in texts.collect()) == sorted({r[1] for r in rows})
+    ends = truncation.endings(docs).cache()
+    wanted = {k for r in ends.where("ending in ('word', 'other', 'abbreviation')").collect() for k in r["contexts"]}
+    many, one = truncation.wanted_contexts(ends, **small), truncation.wanted_contexts(ends)
+    assert len(many) > 3 and len(one) == 1
+    counted = [{(r["word"], r["key"]): (r["n"], r["n_stop"], r["n_end"]) for r in truncation.corpus_counts(texts, "text", w).collect()} for w in (many, one, None)]
+    for some in counted[:2]:
+        assert {k: v for k, v in some.items() if k[0] or k[1] in wanted} == {k: v for k, v in counted[2].items() if k[0] or k[1] in wanted}
+        assert len(some) < len(counted[2])
+
+
+def test_thresholds_are_parameters(spark):
+    rows = [(i, f"{i:03} this one was cut here by forty x"[:34], "s", None) for i in range(40)] + [(100 + i, "word " * (i + 1) + ".", "s", None) for i in range(5)]
+    ends = truncation.endings(spark.createDataFrame(rows, SCHEMA))
+    assert truncation.field_limits(ends).count() == 0
+    assert {r["limit"] for r in truncation.field_limits(ends, truncation.Thresholds(shortest_limit=20)).collect()} == {34}
