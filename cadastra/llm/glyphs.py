@@ -82,6 +82,29 @@ def skeleton(word: str) -> str:
     return "".join(look(u) for ch in word for u in unicodedata.normalize("NFD", plain(ch)))
 
 
+@lru_cache(maxsize=1)
+def _imitated() -> frozenset[str]:
+    """Latin letters that some letter of another script looks like."""
+    return frozenset(latin for pairs in LOOKALIKES.values() for latin in pairs)
+
+
+@lru_cache(maxsize=65536)
+def told(ch: str) -> tuple[str | None, bool]:
+    """Script of a character's letter, and whether it shows that script: no letter of another one looks like it."""
+    unit = unicodedata.normalize("NFD", ch)[0]
+    script = script_of(unit)
+    return script, script is not None and unit not in (_imitated() if script == "Latin" else _tables()[0])
+
+
+def variants(word: str, budget: int) -> set[str]:
+    """A skeleton and all that is left of it after up to `budget` omissions. Words within so many edits of each other share one."""
+    every = last = {word}
+    for _ in range(budget):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        every = every | last
+    return every
+
+
 def composed(word: str) -> str:
     """Without ignorables and compatibility forms, accents composed."""
     out, run = [], []
@@ -136,12 +159,16 @@ class Trie:
         node[None] = (word, count)
 
     def closest(self, word: str, budget: int = 0) -> str | None:
-        """The word at the least weighted edit distance within the budget; NULL if there is none.
+        found = self.match(word, budget)
+        return found and found[3]
+
+    def match(self, word: str, budget: int = 0) -> tuple[int, int, int, str] | None:
+        """Cost, negative count, exchanged letters and the word at the least weighted edit distance within the budget; NULL if there is none.
 
         The automaton's states are trie nodes with the cost so far and the number of letters exchanged. Reading a unit
         costs nothing along an edge that looks the same (the unit itself, a look-alike, its compatibility form) or if it
-        is ignorable; any other exchange, omission or insertion costs 1. Among the cheapest words the one with the fewest
-        exchanged letters wins, then the most frequent, then the first.
+        is ignorable; any other exchange, omission or insertion costs 1. Among the cheapest words the most frequent wins,
+        then the one with the fewest exchanged letters, then the first.
         """
         states = {id(self.root): (0, 0, self.root)}
         states = self._insert(states, budget)
@@ -155,8 +182,7 @@ class Trie:
                             self._keep(after, (cost + (not same), swaps + (edge != unit), child), budget)
                     self._keep(after, (cost + 1, swaps, node), budget)
                 states = self._insert(after, budget)
-        ended = [(cost, swaps, -node[None][1], node[None][0]) for cost, swaps, node in states.values() if None in node]
-        return min(ended)[3] if ended else None
+        return min(((cost, -node[None][1], swaps, node[None][0]) for cost, swaps, node in states.values() if None in node), default=None)
 
     @staticmethod
     def _keep(states: dict, state: tuple[int, int, dict], budget: int) -> None:
@@ -222,89 +248,111 @@ def field_values(items: DataFrame, credits: DataFrame) -> DataFrame:
     return item.unionByName(credit).where("value is not null").select("src_table", "src_field", "row_key", "value")
 
 
-def split_values(counted: DataFrame) -> DataFrame:
-    """Of distinct values with counts n: the words and the pieces of those that are not in the consistent form.
+def split_values(counted: DataFrame, budget: int = 0) -> DataFrame:
+    """Of distinct values with counts n: the words and the pieces of those that may not be in the consistent form.
 
-    word, skeleton, dirty, n for every word (value NULL); value, pos, word, form for every piece of an affected value
-    (form NULL where the word is to be looked up).
+    word, keys, dirty, asked, n for every word (value NULL); value, pos, word, form for every piece of a value with a word or
+    character that is not (dirty), or with a word that may imitate one of another script (form NULL where the word is to be
+    looked up). A word is asked about if it is dirty, or if all its letters look like letters of other scripts and
+    nothing in the value shows its own script.
     """
-    schema = "value string, pos int, word string, form string, skeleton string, dirty boolean, n bigint"
+    schema = "value string, pos int, word string, form string, keys array<string>, dirty boolean, asked boolean, n bigint"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form_of = lru_cache(maxsize=200_000)(by_table)
+        scripts_of = lru_cache(maxsize=200_000)(lambda text: frozenset(told(ch) for ch in text if told(ch)[0]))
         for batch in batches:
             rows, words = [], {}
             for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = pieces(value)
-                changed = False
+                shown = {script for text, form in parts if form is None for script, shows in scripts_of(text) if shows}
+                changed, open_, done = False, False, []
                 for text, form in parts:
                     if form is None:
-                        dirty = form_of(text) != text
-                        words[text] = (dirty, words.get(text, (0, 0))[1] + n)
-                        changed |= dirty
+                        dirty, scripts = form_of(text) != text, {script for script, _ in scripts_of(text)}
+                        asked = dirty or (bool(scripts) and not scripts & shown and "other" not in scripts)
+                        before = words.get(text, (dirty, False, 0))
+                        words[text] = (dirty, before[1] or asked, before[2] + n)
+                        changed, open_ = changed or dirty, open_ or asked
+                        form = None if asked else text
                     else:
                         changed |= form != text
-                if changed:
-                    rows += [(value, i, text, text if form is None and form_of(text) == text else form, None, None, None) for i, (text, form) in enumerate(parts)]
-            rows += [(None, None, w, None, skeleton(w), dirty, n) for w, (dirty, n) in words.items()]
+                    done.append((text, form))
+                if changed or open_:
+                    rows += [(value, i, text, form, None, changed, None, None) for i, (text, form) in enumerate(done)]
+            rows += [(None, None, w, None, sorted(variants(skeleton(w), budget)), dirty, asked, n) for w, (dirty, asked, n) in words.items()]
             if rows:
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["value", "pos", "word", "form", "skeleton", "dirty", "n"])
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int64())
+                names = ["value", "pos", "word", "form", "keys", "dirty", "asked", "n"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return counted.select("value", "n").mapInArrow(split, schema)
 
 
-def canonical_words(words: DataFrame) -> DataFrame:
-    """word, canonical of every dirty word: the closest word of the vocabulary at no cost, else its form by table.
+def canonical_words(words: DataFrame, budget: int = 0) -> DataFrame:
+    """word, canonical of every word that is asked about: the closest word of the vocabulary within the budget, else its form by table.
 
-    words: word, skeleton, dirty, n, distinct. The clean words are the vocabulary. Words at no cost from each other have
-    one skeleton, so the vocabulary is cut into tries by the hash of the skeleton, and a dirty word is read by the trie
-    of its own; nothing is missed. A task holds one trie at a time.
+    words: word, keys, dirty, asked, n, distinct. The words that are not dirty are the vocabulary, with their numbers of
+    occurrences: of several spellings that look the same the most frequent is canonical, whatever its script. Words that look the
+    same have one skeleton; words within `budget` edits share what is left of their skeletons after at most so many
+    omissions (keys). So the vocabulary is cut into tries by the hashes of its keys, each word is read by the tries of its
+    own keys and the best match counts; none is missed. A task holds one trie at a time.
     """
     tries = TRIES_PER_PARTITION * shuffle_partitions(words.sparkSession)
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, at = Trie(), None
         for batch in batches:
             found = []
-            for number, word, dirty, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for number, word, dirty, asked, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if number != at:
                     trie, at = Trie(), number
-                if not dirty:
+                if n:
                     trie.add(word, n)
                 else:
-                    best = trie.closest(word)
-                    found.append((word, by_table(word) if best is None else best))
+                    cost, less, swaps, best = trie.match(word, budget) or (budget + 1, 0, 0, by_table(word))
+                    found.append((word, cost, less, swaps, best))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["word", "canonical"])
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["word", "cost", "less", "swaps", "canonical"])
 
-    numbered = words.select(F.pmod(F.xxhash64("skeleton"), F.lit(tries)).alias("trie"), "word", "dirty", "n")
-    return numbered.repartition("trie").sortWithinPartitions("trie", "dirty").mapInArrow(match, "word string, canonical string")
+    placed = words.withColumn("trie", F.explode(F.array_distinct(F.transform("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(tries))))))
+    # every vocabulary word of a trie comes before the words that are asked about, which have no count of their own
+    vocabulary = placed.where("NOT dirty").select("trie", "word", "dirty", "asked", "n")
+    asked = placed.where("asked").select("trie", "word", "dirty", "asked", F.lit(0).cast("bigint").alias("n"))
+    both = vocabulary.unionByName(asked).repartition("trie").sortWithinPartitions("trie", F.desc("n"))
+    matches = both.mapInArrow(read, "word string, cost int, less bigint, swaps int, canonical string")
+    return matches.groupBy("word").agg(F.min(F.struct("cost", "less", "swaps", "canonical")).alias("best")).select("word", "best.canonical")
 
 
-def consistent_values(values: DataFrame) -> DataFrame:
-    """value, canonical of every distinct value that is not in the consistent form; `value` non-null.
+def consistent_values(values: DataFrame, budget: int = 0) -> DataFrame:
+    """value, canonical, cause of every distinct value that is not in the consistent form; `value` non-null.
 
-    Values that are in it already give no row. Distinct values are cut into words, words are brought to their form
-    once each, and the values are put together by position.
+    cause: `characters` (some characters are not those of the consistent form), `imitation` (a word wholly of letters that
+    look like those of a more frequent word of another script, in a value that shows nothing of its own). Values that are in it
+    already give no row. Distinct values are cut into words, words are brought to their form once each, and the values
+    are put together by position. budget: edits beyond look-alikes and ignorables that a dirty word may be from a known one.
     """
     counted = values.groupBy("value").agg(F.count("*").alias("n"))
-    parts = checkpointed(split_values(counted))
-    words = parts.where("value is null").groupBy("word", "skeleton", "dirty").agg(F.sum("n").alias("n"))
-    known = canonical_words(words)
+    parts = checkpointed(split_values(counted, budget))
+    words = parts.where("value is null").groupBy("word", "keys", "dirty").agg(F.bool_or("asked").alias("asked"), F.sum("n").alias("n"))
+    known = canonical_words(words, budget)
     open_ = parts.where("value is not null")
-    ready = open_.where("form is not null").select("value", "pos", F.col("form").alias("text"))
-    looked_up = salted_join(open_.where("form is null").select("value", "pos", "word"), known, ["word"], [F.col("value")]).select("value", "pos", F.col("canonical").alias("text"))
-    whole = ready.unionByName(looked_up).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("__all"))
-    return whole.select("value", F.array_join(F.transform("__all", lambda x: x["text"]), "").alias("canonical"))
+    ready = open_.where("form is not null").select("value", "pos", "dirty", F.col("form").alias("text"))
+    looked_up = salted_join(open_.where("form is null").select("value", "pos", "dirty", "word"), known, ["word"], [F.col("value")]).select("value", "pos", "dirty", F.col("canonical").alias("text"))
+    whole = ready.unionByName(looked_up).groupBy("value").agg(F.bool_or("dirty").alias("dirty"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("__all"))
+    cause = F.when(F.col("dirty"), "characters").otherwise("imitation").alias("cause")
+    return whole.select("value", F.array_join(F.transform("__all", lambda x: x["text"]), "").alias("canonical"), cause).where("canonical <> value")
 
 
-def affected_rows(values: DataFrame) -> DataFrame:
-    """The rows of field_values that are not in the consistent form, with their canonical value.
+def affected_rows(values: DataFrame, budget: int = 0) -> DataFrame:
+    """The rows of field_values that are not in the consistent form, with their canonical value and the cause (see consistent_values).
 
     One value may be in a third of the rows: values are made distinct by partial aggregation, and the rows that hold
-    anything but printable ASCII and breaks are joined to the affected values with salts. Repeated rows stay repeated.
+    anything but printable ASCII and breaks, or no Latin letter that shows its script, are joined to the affected
+    values with salts. Repeated rows stay repeated.
     """
-    changed = consistent_values(values)
-    rows = values.where(F.col("value").rlike(r"[^\t\n\x0b\x0c\r -~]"))
-    return salted_join(rows, changed, ["value"], [F.col("row_key")]).select("src_table", "src_field", "row_key", "value", "canonical")
+    changed = consistent_values(values, budget)
+    shows = "".join(ch for ch in map(chr, range(128)) if told(ch)[1])
+    rows = values.where(F.col("value").rlike(r"[^\t\n\x0b\x0c\r -~]") | ~F.col("value").rlike(f"[{shows}]"))
+    return salted_join(rows, changed, ["value"], [F.col("row_key")]).select("src_table", "src_field", "row_key", "value", "canonical", "cause")

@@ -15,7 +15,7 @@ def p3_records(spark, d):
 
 
 def p4_found(spark, d):
-    return p4_forms(spark, d).select("src_table", "src_field", "row_key").distinct()
+    return p4_forms(spark, d).where("cause = 'characters'").select("src_table", "src_field", "row_key").distinct()
 
 
 def p4_forms(spark, d):

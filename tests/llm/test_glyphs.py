@@ -36,6 +36,8 @@ def test_the_vocabulary_decides(spark):
     trie = glyphs.Trie()
     trie.add("Cop", 5)
     trie.add("Сор", 1)
+    assert trie.closest("Co​p") == trie.closest("Со​р") == "Cop"
+    trie.add("Сор", 5)
     assert trie.closest("Co​p") == "Cop" and trie.closest("Со​р") == "Сор"
     assert trie.closest("Cup") is None and trie.closest("Cup", 1) == "Cop" and trie.closest("Coop", 1) == "Cop" and trie.closest("Cp", 1) == "Cop"
 
@@ -88,3 +90,30 @@ def test_rows_nulls_repeats_and_empty(spark):
 def test_skeleton_joins_what_looks_alike():
     assert glyphs.skeleton("Ｍօօո​") == glyphs.skeleton("Moon") == "Moon"
     assert glyphs.skeleton("é") == glyphs.skeleton("é") == unicodedata.normalize("NFD", "é")
+
+
+def test_the_most_frequent_spelling_is_canonical(spark):
+    twin, mixed = "Сосо", "Cосо"
+    values = ["Coco"] * 5 + [twin, mixed, "песня " + twin, "dr " + mixed]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    got = {r["value"]: (r["canonical"], r["cause"]) for r in glyphs.consistent_values(df).collect()}
+    assert got == {twin: ("Coco", "imitation"), mixed: ("Coco", "characters"), "dr " + mixed: ("dr Coco", "characters")}
+    # the other way round: a Latin imitation of a more frequent Cyrillic word
+    df = spark.createDataFrame([(v,) for v in [twin] * 5 + ["Coco", "Coco band"]], "value string")
+    assert {r["value"]: r["canonical"] for r in glyphs.consistent_values(df).collect()} == {"Coco": twin}
+
+
+def test_a_budget_finds_words_some_edits_away(spark):
+    rng = random.Random(7)
+    vocabulary = {"".join(rng.choice("abcdmrt") for _ in range(rng.randint(2, 6))) for _ in range(80)}
+    asked = ["".join(rng.choice("abcdmrt") for _ in range(rng.randint(2, 6))) + "\u200b" for _ in range(60)]
+    trie = glyphs.Trie()
+    for word in vocabulary:
+        trie.add(word, 1)
+    df = spark.createDataFrame([(v,) for v in [*vocabulary, *asked]], "value string").repartition(3)
+    for budget in (0, 1, 2):
+        got = {r["value"]: r["canonical"] for r in glyphs.consistent_values(df, budget).where("cause = 'characters'").collect()}
+        want = {w: trie.match(w, budget) for w in asked}
+        assert set(got) == set(asked)
+        for word in asked:
+            assert got[word] == (want[word][3] if want[word] else word[:-1]), (word, budget)
