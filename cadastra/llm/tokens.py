@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.session import checkpointed, spread
+from cadastra.session import checkpointed, salted_join, spread
 
 #: Default place of the vocabulary; a parameter of every operator here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -149,7 +149,8 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     The words of all documents are exploded and counted, each distinct word is encoded once, and the ids are joined back
     by position. A word may be a large part of all words, so the most frequent ones (see FREQUENT) are sent to the
     documents; only the occurrences of the others are exploded with their positions, shuffled to their ids, and
-    put in their places again by document. The dictionary is kept in the checkpoint folder.
+    put in their places again by document. Words too long for the table of frequent ones (a rule of dashes, an indentation) may be
+    as frequent as any: they are joined with salts. The dictionary is kept in the checkpoint folder.
     """
     ranks = read_ranks(path)
     words = spread(docs.select(doc_id, text), doc_id).select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__text"), F.coalesce(pre_tokens(F.col(text)), F.array().cast("array<string>")).alias("__words"))
@@ -161,7 +162,10 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     open_ = partly.where(F.size("missing") > 0)
     places = open_.select("__doc", "__text", F.posexplode("missing").alias("at", "word"))
-    ids = places.join(known.select("word", "ids"), "word").groupBy("__doc", "__text").agg(F.collect_set(F.struct("at", "ids")).alias("found"))
+    long_ = F.octet_length("word") > FREQUENT_BYTES
+    entries = known.select("word", "ids")
+    met = places.where(~long_).join(entries.where(~long_), "word").unionByName(salted_join(places.where(long_), entries.where(long_), ["word"], [F.col("__text"), F.col("at")]).select("word", "__doc", "__text", "at", "ids"))
+    ids = met.groupBy("__doc", "__text").agg(F.collect_set(F.struct("at", "ids")).alias("found"))
     ids = ids.withColumnsRenamed({"__doc": "__doc2", "__text": "__text2"})
     both = open_.join(ids, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__text") == F.col("__text2")))
     return done.unionByName(put_in(both)).select(F.col("__doc").alias(doc_id), "ids")
