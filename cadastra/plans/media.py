@@ -38,7 +38,7 @@ _PAIR = "round(round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), C
 @query(f"SELECT a.vec_id AS query, b.vec_id AS id, {_PAIR} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) <= 12")
 def nearest_vectors(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = similarity.nearest(rows.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), rows, similarity.TOP)
+    found = similarity.nearest(rows.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), rows, similarity.DEFAULT.top)
     return found.select("query", "id", F.round("distance", 6).alias("distance"))
 
 

@@ -58,7 +58,7 @@ def test_diverse_top_equals_the_passes(spark):
         ordered, chosen, count = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[3])), [], {}
         for cap in (1, 2, 3):
             for r in ordered:
-                if r not in chosen and count.get(r[1], 0) < cap and len(chosen) < s.TOP:
+                if r not in chosen and count.get(r[1], 0) < cap and len(chosen) < s.DEFAULT.top:
                     chosen.append(r)
                     count[r[1]] = count.get(r[1], 0) + 1
         want += [(g, r[3]) for r in chosen]
@@ -70,7 +70,7 @@ def test_large_entities_are_sampled(spark):
     df = tracks(spark, [("big", f"t{i:04}", [float(x) for x in rng.normal(size=4)], "A", 2000) for i in range(700)] + [("small", f"s{i}", [1.0, 0.0, 0.0, 0.0], "A", 2000) for i in range(5)])
     kept = s.sampled(df, 4).collect()
     big = sorted(r["order"] for r in kept if r["entity"] == "big")
-    assert sum(r["entity"] == "small" for r in kept) == 5 and 148 <= len(big) <= s.SAMPLE
+    assert sum(r["entity"] == "small" for r in kept) == 5 and 148 <= len(big) <= s.DEFAULT.sample
     assert {round(i / 147 * 699) for i in range(148)} <= set(big)
     means = np.mean([r["embedding"] for r in df.where("entity = 'big'").collect()], axis=0)
     far = sorted(df.where("entity = 'big'").collect(), key=lambda r: (-s.distances([r["embedding"]], [means])[0, 0], r["order"]))[:10]
@@ -107,10 +107,33 @@ def test_poles_and_fingerprints_against_scalar_code():
         assert print_["spread"]["widest"] == pytest.approx(max((pairs[i, j] for i in range(n) for j in range(i)), default=0))
         own = s.artist_fingerprint("e", rows, rows.iloc[:4])
         assert len(own["core"]) == min(3, n) and (own["trajectory"] is None) == (n < 3)
-        assert s.album_score(print_, print_)[0] == pytest.approx(0, abs=1e-6) and s.artist_score(own, own)[0] == pytest.approx(0, abs=1e-6)
+        assert s.album_score(print_, print_, 0.0, [0.0] * 6)[0] == pytest.approx(0, abs=1e-6) and s.artist_score(own, own, 0.0, [0.0] * 6)[0] == pytest.approx(0, abs=1e-6)
 
 
-def test_intervals():
-    d = s.interval_distance
-    assert d((0.0, 0.0), (0.2, 0.4)) == 0 and d((0.2, 0.2), (0.5, 0.5)) == pytest.approx(0.3)
-    assert d((0.1, 0.2), (0.4, 0.5)) == pytest.approx(0.2) and d((0.0, 1.0), (0.5, 1.0)) == pytest.approx(0.5)
+def test_ranges_count_in_the_scores(spark):
+    rows = [("a", "a1", [1.0, 0.0], 0.1, [0.2] * 6), ("a", "a2", [1.0, 0.1], 0.3, [0.4] * 6), ("b", "b1", [1.0, 0.0], 0.4, [0.5] * 6), ("b", "b2", [1.0, 0.1], 0.5, None)]
+    df = spark.createDataFrame([(e, i, n, v, x, m, "A", 2000) for n, (e, i, v, x, m) in enumerate(rows)], SCHEMA)
+    pairs = spark.createDataFrame([("a", "b")], "entity string, candidate string")
+    for make, score, of in ((s.album_fingerprints, s.album_score, 0), (s.artist_fingerprints, s.artist_score, 1)):
+        got = s.scored(pairs, make(df, 2), lambda a, b, energy, moods: (energy + 10 * moods[0] + 100 * len(moods), [])).first()
+        # quartiles: energies 0.15..0.25 and 0.425..0.475, moods of artists 0.25..0.35 and 0.5..0.5, of albums their ends
+        assert got["score"] == pytest.approx(0.175 + 10 * (0.1 if of == 0 else 0.15) + 600)
+
+
+def test_the_index_finds_nearly_all(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    queries = df.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
+    exact = {(r["query"], r["id"]) for r in s.nearest(queries, df, 12).collect()}
+    found = {(r["query"], r["id"]) for r in s.nearest(queries, df, 12, probes=s.PROBES).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    lists = s.fit_lists(df.withColumn("__dim", F.size("embedding")))
+    placed = s.in_lists(df.withColumn("__dim", F.size("embedding")), "id", lists, 0)
+    assert placed.count() == df.count() and len(lists[64]) == round(df.count() ** 0.5)
+
+
+def test_a_list_of_any_size_is_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(s, "PART", 16)
+    df = spark.createDataFrame([(i, [1.0, 0.001 * i]) for i in range(200)] + [(900, None), (901, [])], "id bigint, embedding array<float>")
+    queries = df.where("id < 3").select(F.col("id").alias("query"), "embedding")
+    got = {(r["query"], r["rank"]): r["id"] for r in s.nearest(queries, df, 2, probes=1.0).collect()}
+    assert got == {(q, r): i for q, ids in ((0, (0, 1)), (1, (1, 0)), (2, (2, 1))) for r, i in enumerate(ids, 1)}
