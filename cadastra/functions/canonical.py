@@ -48,6 +48,11 @@ def fingerprint(value) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
+def fingerprint_of(value) -> Column:
+    """fingerprint of a value of the driver, as a column."""
+    return F.lit(fingerprint(value))
+
+
 def _parsed(text: str | None):
     try:
         return None if text is None else json.loads(text)
