@@ -1,9 +1,9 @@
 """Loudness windows of audio, integrated loudness and ramps."""
 
-import io
 import struct
 import wave
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -120,12 +120,22 @@ def profile(name: str, blocks: Iterable[np.ndarray], rate: int) -> tuple:
     if len(loudness) > LAST_INDEX + 1:
         return name, rate, None, None, None, None, "too long"
     relative = [x - level for x in loudness]
-    return name, rate, frames * 1000 // rate, level, encode_ramp(ramp(relative)), encode_ramp(ramp(relative[::-1])), None
+    return name, rate, int(frames / rate * 1000), level, encode_ramp(ramp(relative)), encode_ramp(ramp(relative[::-1])), None
 
 
-def wav_blocks(data: bytes, frames: int = 131_072) -> tuple[int, Iterator[np.ndarray]]:
-    """(sample rate, blocks) of a PCM WAV file of 8, 16, 24 or 32 bits."""
-    file = wave.open(io.BytesIO(data))
+def opened(path: str) -> BinaryIO:
+    """A file of any file system that executors can reach, open for reading."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    uri = f"file://{rest}" if colon and scheme == "file" and not rest.startswith("//") else path
+    system, inner = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+    return system.open_input_file(inner)
+
+
+def wav_blocks(source: BinaryIO, frames: int = 131_072) -> tuple[int, Iterator[np.ndarray]]:
+    """(sample rate, blocks) of an open PCM WAV file of 8, 16, 24 or 32 bits; a block at a time is read."""
+    file = wave.open(source)
     channels, width = file.getnchannels(), file.getsampwidth()
     if not 0 < channels <= MOST_CHANNELS:
         raise ValueError("channels")
@@ -145,20 +155,25 @@ def wav_blocks(data: bytes, frames: int = 131_072) -> tuple[int, Iterator[np.nda
 
 
 def profiles(files: DataFrame) -> DataFrame:
-    """PROFILE of WAV files as spark.read.format("binaryFile") gives them: one file at a time, blocks within it."""
+    """PROFILE of the WAV files at `path`; other columns (spark.read.format("binaryFile") has content) are not read.
+
+    Each task opens one file after the other and reads it in blocks, so memory grows with the block and, by a number for
+    each 100 ms, with the duration, not with the size of the file.
+    """
 
     def analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path in batch["path"]:
                 try:
-                    rate, blocks = wav_blocks(content)
-                    rows.append(profile(path, blocks, rate))
-                except (wave.Error, EOFError, ValueError) as error:
+                    with opened(path) as file:
+                        rate, blocks = wav_blocks(file)
+                        rows.append(profile(path, blocks, rate))
+                except (wave.Error, EOFError, ValueError, OSError) as error:
                     rows.append((path, None, None, None, None, None, f"no PCM audio: {error}"))
             yield pd.DataFrame(rows, columns=["id", "sample_rate", "duration_ms", "ref_lufs", "start_ramp", "end_ramp", "problem"]).astype({"sample_rate": "Int32", "duration_ms": "Int64"})
 
-    return files.select("path", "content").mapInPandas(analyse, PROFILE)
+    return files.select("path").mapInPandas(analyse, PROFILE)
 
 
 def integrated_loudness(loudness: Column) -> Column:

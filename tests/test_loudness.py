@@ -70,3 +70,24 @@ def test_limits():
     assert l.profile("x", [np.zeros((1, 10))], 8000)[-1] == "silent"
     assert l.profile("x", [np.ones((1, 10)), np.ones((2, 10))], 8000)[-1] == "the number of channels changed"
     assert l.integrated([-80.0, -71.0]) == float("-inf") and l.integrated([-20.0, -20.0, -90.0]) == pytest.approx(-20)
+
+
+def peak_of_profile(path):
+    """Peak resident memory (KB) of a process that makes one profile."""
+    import subprocess
+    import sys
+
+    code = "import resource, sys; from cadastra.operators import loudness as l; f = l.opened(sys.argv[1]); rate, blocks = l.wav_blocks(f); assert l.profile('x', blocks, rate)[-1] is None; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    return int(subprocess.run([sys.executable, "-c", code, str(path)], capture_output=True, text=True, check=True).stdout)
+
+
+def test_memory_does_not_grow_with_the_file(tmp_path):
+    second = (0.1 * np.sin(np.arange(48_000) / 9)).astype(np.float32)
+    for name, seconds in (("short.wav", 10), ("long.wav", 300)):
+        with wave.open(str(tmp_path / name), "wb") as f:
+            f.setnchannels(2)
+            f.setsampwidth(2)
+            f.setframerate(48_000)
+            for _ in range(seconds):
+                f.writeframes((np.stack([second, second], axis=1) * 32767).astype("<i2").tobytes())
+    assert peak_of_profile(tmp_path / "long.wav") - peak_of_profile(tmp_path / "short.wav") < 20_000  # of 55 MB more audio
