@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.canonical import canonical
 from cadastra.functions.text import identity_text
+from cadastra.operators.ranks import with_position
 from cadastra.session import salted_join
 
 # The greatest difference of durations of one recording, and the most items of a batch.
@@ -83,26 +84,28 @@ def coverage(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 
 def batch_index(vectors: DataFrame, item_id: str = "analysis_id") -> DataFrame:
-    """Places of the vectors of a batch: `item_id`, offset, byte_length, dimensions; vectors: `item_id`, dimensions.
+    """Places of vectors in their batches: `item_id`, batch, offset, byte_length, dimensions; vectors: `item_id` (distinct), dimensions.
 
-    In order of ids, each after the bytes of those before it. A batch has at most MOST_VECTORS rows.
+    In order of ids, MOST_VECTORS to a batch, each after the bytes of those before it. Every vector is in a batch; a window
+    never has more rows than one.
     """
-    size = F.col("dimensions").cast("bigint") * 4
-    before = Window.orderBy(item_id).rowsBetween(Window.unboundedPreceding, -1)
-    return vectors.orderBy(item_id).limit(MOST_VECTORS).select(item_id, F.coalesce(F.sum(size).over(before), F.lit(0)).alias("offset"), size.alias("byte_length"), "dimensions")
+    numbered = with_position(vectors.select(item_id, "dimensions"), [item_id], "__place")
+    placed = numbered.withColumns({"batch": F.floor((F.col("__place") - 1) / MOST_VECTORS), "byte_length": F.col("dimensions").cast("bigint") * 4})
+    before = Window.partitionBy("batch").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select(item_id, "batch", F.coalesce(F.sum("byte_length").over(before), F.lit(0)).alias("offset"), "byte_length", "dimensions")
 
 
 def pack_batch(rows: Iterable[tuple[str, bytes | None, int, str]], family: str, generation: int, label: str = "cadastra-f32le-v1") -> bytes:
     """A batch of vectors (id, bytes, dimensions, checksum) for the wire: header length, canonical JSON header, bytes.
 
-    `label` names the format in the header; a consumer of another name passes its own.
+    Rows without bytes have no vector and are left out; more than MOST_VECTORS vectors are an error. `label` names the
+    format in the header; a consumer of another name passes its own.
     """
+    vectors = sorted((row for row in rows if row[1]), key=lambda row: row[0])
+    if len(vectors) > MOST_VECTORS:
+        raise ValueError(f"more than {MOST_VECTORS} vectors")
     data, index = bytearray(), []
-    for item, blob, dimensions, checksum in sorted(rows, key=lambda r: r[0])[: MOST_VECTORS + 1]:
-        if not blob:
-            continue
-        if len(index) == MOST_VECTORS:
-            raise ValueError(f"more than {MOST_VECTORS} vectors")
+    for item, blob, dimensions, checksum in vectors:
         if len(blob) != 4 * dimensions:
             raise ValueError("a vector does not have its dimensions")
         index.append({"analysis_id": item, "offset": len(data), "byte_length": len(blob), "dimensions": dimensions, "checksum": checksum})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-# Digits of base 62, and the last release that still had other ids.
+# Digits of base 62, the last release that still had other ids, and the shapes of ids and of version texts.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LAST_OTHER_VERSION = (0, 63, 2)
 _PLACE = {c: i for i, c in enumerate(ALPHABET)}

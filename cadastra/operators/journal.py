@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.operators.ranks import with_position
-from cadastra.session import salted_join
+from cadastra.session import checkpointed, salted_join
 
 # Order of entity types in a publication, and the least number of kept events.
 ENTITY_ORDER = ("library", "artist", "album", "track")
@@ -45,9 +45,9 @@ def change_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("entity_type").agg(*[F.count_if(F.col("operation") == o).alias(f"n_{o}") for o in ("upsert", "delete", "rekey")])
 
 
-def reactivated(added: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
-    """Added entities that an earlier generation already had."""
-    return added.join(history.select(*keys).distinct(), keys, "left_semi")
+def reactivated(added: DataFrame, history: DataFrame, keys: list[str], at: str, first: str) -> DataFrame:
+    """Added entities (`keys`, `at`) that were there before: history has for each entity (`keys`) the `first` time it was seen."""
+    return added.join(history.select(*keys, first), keys).where(F.col(first) < F.col(at)).drop(first)
 
 
 def change_page(changes: DataFrame, after: int, limit: int, head: int | None = None) -> DataFrame:
@@ -105,22 +105,25 @@ def rekeyed(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return salted_join(rows, renamed, [column], spread, "left_outer").withColumn(column, F.coalesce("__new_id", column)).select(*rows.columns)
 
 
-def copied_generation(rows: DataFrame, generation: int) -> DataFrame:
-    """A generation under the next number."""
-    return rows.where(F.col("published_generation") == generation).withColumn("published_generation", F.lit(generation + 1).cast("bigint"))
-
-
 def payload_bytes(rows: DataFrame, groups: list[str], text: str = "payload", overhead: int = 96) -> DataFrame:
     """Estimated bytes of a snapshot: UTF-8 bytes of the payloads and an overhead for each row."""
     return rows.groupBy(*groups).agg((F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + overhead)).cast("bigint").alias("n_bytes"), F.count("*").alias("n_rows"))
 
 
 def nearest_around(events: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """For each mark (key, at) the last event at or before it and the first after it, by the key.
+    """For each mark (key, at) the last event at or before it and the first at or after it, by the key.
 
-    Marks and events share one order; both neighbours are running values over it, with no join of the two.
+    Marks and events share one order, which is cut into ranges over all tasks: both neighbours are running values within
+    a range, and those of the ranges before and after are carried in. A key with a third of all rows is many ranges; only
+    a row per key and range is numbered by key. The ranges are kept in the checkpoint folder.
     """
-    both = events.select(key, "at", F.col("at").alias("__event"), F.lit(0).alias("__kind")).unionByName(marks.select(key, "at", F.lit(None).cast(events.schema["at"].dataType).alias("__event"), F.lit(1).alias("__kind")))
-    past = Window.partitionBy(key).orderBy("at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.desc("at"), F.asc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.select(key, "at", "__kind", F.last("__event", True).over(past).alias("before"), F.last("__event", True).over(ahead).alias("after")).where("__kind = 1").drop("__kind").distinct()
+    none = F.lit(None).cast(events.schema["at"].dataType)
+    both = events.select(key, "at", F.col("at").alias("__event"), F.lit(0).alias("__kind")).unionByName(marks.select(key, "at", none.alias("__event"), F.lit(1).alias("__kind")))
+    named = both.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")))
+    placed = checkpointed(named.repartitionByRange("__key", "at").withColumn("__part", F.spark_partition_id()))
+    edges = placed.groupBy("__key", "__part").agg(F.max("__event").alias("__last"), F.min("__event").alias("__first"))
+    parts = lambda order: Window.partitionBy("__key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select("__key", "__part", F.last("__last", True).over(parts(F.asc("__part"))).alias("__before"), F.last("__first", True).over(parts(F.desc("__part"))).alias("__after"))
+    within = lambda order: Window.partitionBy("__key", "__part").orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = salted_join(placed.select("*", F.last("__event", True).over(within(F.asc("at"))).alias("__b"), F.last("__event", True).over(within(F.desc("at"))).alias("__a")).where("__kind = 1"), carried, ["__key", "__part"], [F.col("at")])
+    return near.select(key, "at", F.coalesce("__b", "__before").alias("before"), F.coalesce("__a", "__after").alias("after")).distinct()

@@ -4,10 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.functions import numbers, text
-from cadastra.functions.canonical import json_fingerprint
+from cadastra.functions.canonical import canonical_json
 from cadastra.operators import analysis, browse, identity, journal, normalize
 from cadastra.operators.ranks import with_group_position, with_position
-from cadastra.operators.snapshots import row_hash
+from cadastra.operators.snapshots import row_hash, scan_changes
 from cadastra.session import salted_join
 from cadastra.sources import table
 
@@ -130,12 +130,20 @@ def change_counts(spark, d):
     return journal.change_counts(table(spark, d, "catalog_changes"))
 
 
-@query(f"""{_DIFF}, hist AS (SELECT DISTINCT catalog_instance_id, track_id, g FROM r)
-SELECT DISTINCT c.catalog_instance_id, c.generation, c.track_id FROM changes c WHERE is_new AND EXISTS (SELECT 1 FROM hist h WHERE h.catalog_instance_id = c.catalog_instance_id AND h.track_id = c.track_id AND h.g < c.generation)""")
+@query("""WITH placed AS (SELECT scan_id, catalog_instance_id, row_number() OVER (PARTITION BY catalog_instance_id ORDER BY started_at, scan_id) AS place FROM catalog_scans WHERE status = 'complete'),
+r AS (SELECT DISTINCT catalog_instance_id, place, entity_type, entity_id FROM catalog_scan_entities JOIN placed USING (scan_id, catalog_instance_id))
+SELECT scan_id, entity_type, entity_id FROM r JOIN placed USING (catalog_instance_id, place) WHERE EXISTS (SELECT 1 FROM r b WHERE b.catalog_instance_id = r.catalog_instance_id AND b.entity_type = r.entity_type AND b.entity_id = r.entity_id AND b.place < r.place - 1)
+AND NOT EXISTS (SELECT 1 FROM r b WHERE b.catalog_instance_id = r.catalog_instance_id AND b.entity_type = r.entity_type AND b.entity_id = r.entity_id AND b.place = r.place - 1)""")
 def reactivations(spark, d):
-    added = _changes(spark, d).where("is_new").select("catalog_instance_id", "generation", "track_id")
-    history = table(spark, d, "catalog_tracks").where("available").groupBy(*_KEYS).agg(F.min("published_generation").alias("__first"))
-    return added.join(history, _KEYS).where("__first < generation").drop("__first")
+    """Entities that a scan brings back: added since the scan before, but seen by an earlier one."""
+    scans, entities = table(spark, d, "catalog_scans"), table(spark, d, "catalog_scan_entities")
+    order = Window.partitionBy("catalog_instance_id").orderBy("started_at", "scan_id")
+    placed = scans.where("status = 'complete'").select("scan_id", "catalog_instance_id", "started_at").withColumn("place", F.row_number().over(order)).drop("started_at")
+    keys = ["catalog_instance_id", "entity_type", "entity_id"]
+    first = salted_join(entities.select("scan_id", *keys), placed, ["scan_id", "catalog_instance_id"], [F.col("entity_id")]).groupBy(*keys).agg(F.min("place").alias("first_place"))
+    added = scan_changes(scans, entities).where("change_kind = 'added'").select("scan_id", "entity_type", "entity_id")
+    dated = salted_join(added, placed, ["scan_id"], [F.col("entity_id")])
+    return journal.reactivated(dated, first, keys, "place", "first_place").select("scan_id", "entity_type", "entity_id")
 
 
 @query(f"""{_DIFF} SELECT catalog_instance_id, generation, track_id, operation, row_number() OVER (ORDER BY CASE operation WHEN 'upsert' THEN 1 ELSE 2 END, catalog_instance_id || '/' || generation || '/' || track_id) + 1000 AS seq FROM changes""")
@@ -206,9 +214,6 @@ def scans_around(spark, d):
 
 # normalising
 
-_LATEST_TRACKS = "(SELECT DISTINCT t.* EXCLUDE (payload) FROM catalog_tracks t JOIN (SELECT catalog_instance_id, max(published_generation) AS published_generation FROM catalog_tracks GROUP BY 1) USING (catalog_instance_id, published_generation))"
-
-
 @query("SELECT id, nullif(regexp_replace(nfc_normalize(title), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g'), '') AS title FROM (SELECT DISTINCT id, title FROM collection_items)")
 def text_cleaned(spark, d):
     return table(spark, d, "collection_items").select("id", "title").distinct().select("id", text.clean(F.col("title")).alias("title"))
@@ -230,11 +235,11 @@ def fingerprints(spark, d):
     return table(spark, d, "catalog_scan_entities").select("scan_id", "entity_type", "entity_id", row_hash(["metadata_fp", "media_fp"]).alias("fp")).distinct()
 
 
-@query("SELECT count(DISTINCT (scan_id, entity_type, entity_id, payload_rev, payload_name)) AS n FROM (SELECT scan_id, entity_type, entity_id, json_extract_string(payload, '$.rev') AS payload_rev, json_extract_string(payload, '$.name') AS payload_name FROM catalog_scan_entities)")
+@query("""SELECT DISTINCT scan_id, entity_type, entity_id, c AS payload, sha256(c) AS fp FROM (SELECT scan_id, entity_type, entity_id, '{' || array_to_string(list_transform(list_sort(json_keys(payload)), lambda k: to_json(k) || ':' || json_extract(payload, '$."' || k || '"')), ',') || '}' AS c FROM catalog_scan_entities)""")
 def canonical_payloads(spark, d):
-    """Payloads that differ in formatting only have one fingerprint."""
-    rows = table(spark, d, "catalog_scan_entities").select("scan_id", "entity_type", "entity_id", json_fingerprint(F.col("payload")).alias("fp"))
-    return rows.distinct().agg(F.count("*").alias("n"))
+    """Canonical bytes and fingerprints; payloads that differ in formatting only have the same."""
+    rows = table(spark, d, "catalog_scan_entities").select("scan_id", "entity_type", "entity_id", canonical_json(F.col("payload")).alias("payload"))
+    return rows.distinct().withColumn("fp", F.sha2("payload", 256))
 
 
 @query("SELECT event_id, greatest(0, CAST(round_even(value * 1000, 0) AS BIGINT)) AS duration_ms, CAST(greatest(0, least(1, (value / 500 - 0.01) / 0.14)) AS DOUBLE) AS energy FROM events")
@@ -262,13 +267,11 @@ def last_titles(spark, d):
     return normalize.last_delivered(rows, "track_id").select("track_id", "title")
 
 
-@query(f"""SELECT t.catalog_instance_id, t.album_id, count(*) AS n_tracks FROM {_LATEST_TRACKS} t WHERE t.album_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM catalog_albums a WHERE a.catalog_instance_id = t.catalog_instance_id AND a.published_generation = t.published_generation AND a.album_id = t.album_id AND a.available) GROUP BY 1, 2""")
+@query("SELECT provider_album_id, count(DISTINCT id) AS n_items FROM collection_items i WHERE provider_album_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM catalog_albums a WHERE a.album_id = i.provider_album_id) GROUP BY 1")
 def albums_without_record(spark, d):
-    tracks = table(spark, d, "catalog_tracks")
-    latest = tracks.groupBy("catalog_instance_id").agg(F.max("published_generation").alias("published_generation"))
-    now = salted_join(tracks.select("catalog_instance_id", "published_generation", "track_id", "album_id"), latest, ["catalog_instance_id", "published_generation"], [F.col("track_id")]).distinct()
-    known = table(spark, d, "catalog_albums").where("available").select("catalog_instance_id", "published_generation", "album_id").distinct()
-    return now.where("album_id is not null").join(known, ["catalog_instance_id", "published_generation", "album_id"], "left_anti").groupBy("catalog_instance_id", "album_id").agg(F.count("*").alias("n_tracks"))
+    known = table(spark, d, "catalog_albums").select(F.col("album_id").alias("provider_album_id")).where("provider_album_id is not null").distinct()
+    items = table(spark, d, "collection_items").where("provider_album_id is not null").groupBy("provider_album_id").agg(F.count_distinct("id").alias("n_items"))
+    return items.join(known, "provider_album_id", "left_anti")
 
 
 @query("""SELECT DISTINCT * FROM (SELECT catalog_instance_id, 'artist' AS entity_type, artist_id AS entity_id, unnest(from_json(json_extract(payload, '$.library_ids'), '["VARCHAR"]')) AS library_id FROM catalog_artists)""")
@@ -362,7 +365,8 @@ def evidence(spark, d):
     return analysis.evidence(rows.select(F.col("track_id").alias("analysis_id"), F.col("media_fp").alias("fingerprint")))
 
 
-@query("SELECT artist_id, coalesce(sum(4 * length(name)) OVER (ORDER BY artist_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, (4 * length(name))::BIGINT AS byte_length, length(name)::BIGINT AS dimensions FROM (SELECT artist_id, min(name) AS name FROM catalog_artists WHERE artist_id IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 250)")
+@query("""SELECT artist_id, batch, coalesce(sum(byte_length) OVER (PARTITION BY batch ORDER BY artist_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, byte_length, dimensions FROM
+(SELECT artist_id, (row_number() OVER (ORDER BY artist_id) - 1) // 250 AS batch, (4 * length(name))::BIGINT AS byte_length, length(name)::BIGINT AS dimensions FROM (SELECT artist_id, min(name) AS name FROM catalog_artists WHERE artist_id IS NOT NULL GROUP BY 1))""")
 def batch_index(spark, d):
     rows = table(spark, d, "catalog_artists").where("artist_id is not null").groupBy("artist_id").agg(F.char_length(F.min("name")).cast("bigint").alias("dimensions"))
     return analysis.batch_index(rows, "artist_id")
@@ -382,7 +386,17 @@ def id_shapes(spark, d):
     return rows.select("track_id", F.regexp_replace(identity.canonical_id(F.col("track_id"))["shape"], "base62_(128|overflow)", "base62").alias("shape"))
 
 
-@query()
+_DIGITS = f"'{identity.ALPHABET}'"
+_NUMBER = lambda text, base: f"list_reduce(list_transform(string_split({text}, ''), lambda c: (strpos({_DIGITS}, c) - 1)::UHUGEINT), lambda a, b: a * {base} + b)"
+_BASE62 = lambda n: " || ".join(f"substr({_DIGITS}, (({n}) // {62**k}::UHUGEINT % 62)::INT + 1, 1)" for k in range(21, -1, -1))
+_PLACES = lambda text: f"list_transform(string_split({text}, ''), lambda c: strpos({_DIGITS}, c))"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT track_id, CASE WHEN NOT regexp_full_match(track_id, '[0-9A-Za-z]{{22}}') THEN CASE WHEN regexp_full_match(track_id, '[0-9a-fA-F]{{32}}') THEN 'hex32' WHEN regexp_full_match(track_id, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') THEN 'uuid' ELSE 'unrecognized' END
+  WHEN {_PLACES('track_id')} <= {_PLACES("'7N42dgm5tFLK9N8MT7fHC7'")} THEN 'base62_128' ELSE 'base62_overflow' END AS shape FROM catalog_tracks),
+n AS (SELECT *, CASE WHEN shape = 'base62_overflow' THEN {_NUMBER('md5(track_id)', 16)} WHEN shape IN ('hex32', 'uuid') THEN {_NUMBER("lower(replace(track_id, '-', ''))", 16)} END AS n FROM s),
+v AS (SELECT track_id, shape, CASE WHEN n IS NULL THEN track_id ELSE {_BASE62('n')} END AS value FROM n)
+SELECT track_id, value, shape <> 'unrecognized' AS recognized, value <> track_id AS changed, shape FROM v""")
 def canonical_ids(spark, d):
     rows = table(spark, d, "catalog_tracks").select("track_id").distinct()
     return rows.select("track_id", identity.canonical_id(F.col("track_id")).alias("c")).select("track_id", "c.*")

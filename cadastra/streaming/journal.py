@@ -1,7 +1,6 @@
 """Change journals as streams of files."""
 
-import os
-import shutil
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +41,10 @@ def living(state: DataFrame) -> DataFrame:
 class JournalFold:
     """State of a change journal, kept up by micro-batches.
 
-    Each batch is folded, merged with the state of the batch before and written as the state of this batch; a batch that
-    is run again overwrites its own folder and starts from the same one before, so its effect counts once.
+    The state is a binary indexed tree of folds over the batches: the folder of batch i - 1 (i from 1) holds the fold of the last
+    i & -i batches, so of n batches a batch reads and rewrites no more than log n folders, on average two of its own size,
+    and the state is the fold of at most log n folders. A batch that is run again overwrites its own folder from the same others, so
+    its effect counts once. Folders that a later one covers are removed once the batch after it has begun.
     """
 
     def __init__(self, root: str, scope: list[str], fields: list[str]) -> None:
@@ -52,25 +53,52 @@ class JournalFold:
     def _folder(self, batch: int) -> str:
         return f"{self.root}/state/batch={batch}"
 
+    @staticmethod
+    def covered(batch: int) -> list[int]:
+        """The earlier batches whose folders the folder of this batch takes in."""
+        i, out = batch + 1, []
+        j = i - 1
+        while j > i - (i & -i):
+            out.append(j - 1)
+            j -= j & -j
+        return out
+
+    @staticmethod
+    def living_folders(batch: int) -> list[int]:
+        """The batches whose folders together hold the state after this batch."""
+        i, out = batch + 1, []
+        while i > 0:
+            out.append(i - 1)
+            i -= i & -i
+        return out
+
     def apply(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        for old in self.covered(number - 1) if number > 0 else []:
+            path, system = self._path(spark, old)
+            system.delete(path, True)
         state = fold(batch, self.scope, self.fields)
-        if number > 0:
-            state = merged(state.unionByName(batch.sparkSession.read.parquet(self._folder(number - 1))), self.scope)
+        parts = [spark.read.parquet(self._folder(k)) for k in self.covered(number)]
+        if parts:
+            state = merged(reduce(DataFrame.unionByName, parts, state), self.scope)
         state.write.mode("overwrite").parquet(self._folder(number))
 
+    def _path(self, spark: SparkSession, batch: int):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder(batch))
+        return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
     def run(self, stream: DataFrame) -> DataFrame:
-        """Reads all that is there and returns the state of the last batch."""
+        """Reads all that is there and returns the state after the last batch."""
         query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-        last = query.lastProgress["batchId"] if query.lastProgress else 0
-        spark = stream.sparkSession
-        jvm = spark.sparkContext._jvm
+        last, spark = query.lastProgress["batchId"] if query.lastProgress else 0, stream.sparkSession
         while last > 0:
-            path = jvm.org.apache.hadoop.fs.Path(self._folder(last))
-            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            path, system = self._path(spark, last)
+            if system.exists(path):
                 break
             last -= 1
-        return spark.read.parquet(self._folder(last))
+        parts = [spark.read.parquet(self._folder(k)) for k in self.living_folders(last)]
+        return merged(reduce(DataFrame.unionByName, parts), self.scope)
 
 
 def closed_windows(stream: DataFrame, root: str, at: str, width: str, delay: str, by: str) -> DataFrame:
@@ -80,9 +108,3 @@ def closed_windows(stream: DataFrame, root: str, at: str, width: str, delay: str
     query = flat.writeStream.outputMode("append").format("parquet").option("path", f"{root}/windows").option("checkpointLocation", f"{root}/windows-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(flat.schema).parquet(f"{root}/windows")
-
-
-def remove_local(root: str) -> None:
-    """Drops a local folder of a stream that is no longer needed."""
-    if os.path.isdir(root):
-        shutil.rmtree(root)

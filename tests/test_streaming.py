@@ -25,3 +25,14 @@ def test_a_batch_run_again_counts_once(spark, tmp_path):
     fold.apply(df.withColumn("seq", df["seq"] + 5), 1)
     fold.apply(df.withColumn("seq", df["seq"] + 5), 1)
     assert [r["made"]["seq"] for r in spark.read.parquet(fold._folder(1)).collect()] == [6]
+
+
+def test_few_folders_hold_the_state(spark, tmp_path):
+    fold, n = s.JournalFold(str(tmp_path), ["catalog_instance_id"], ["payload"]), 11
+    for batch in range(n):
+        fold.apply(spark.createDataFrame([("i", batch, "upsert", "t", f"e{batch % 4}", None, "x"), ("i", batch, "delete", "t", f"e{(batch + 1) % 4}", None, None)], SCHEMA), batch)
+        held = spark.read.option("basePath", f"{tmp_path}/state").parquet(*[fold._folder(k) for k in fold.living_folders(batch)])
+        assert len(fold.living_folders(batch)) <= 3
+    state = s.merged(held.drop("batch"), ["catalog_instance_id"])
+    assert {r["entity_id"]: (r["made"]["seq"], r["removed"]) for r in state.collect()} == {"e0": (8, 7), "e1": (9, 8), "e2": (10, 9), "e3": (7, 10)}
+    assert len(list((tmp_path / "state").iterdir())) <= 5
