@@ -93,34 +93,34 @@ _KEYS = ["src_field", "scope", "ref_id"]
 _OUT = ["src_table", "src_field", "period", "row_key"]
 
 
+def _described(rows: DataFrame, *more: str) -> DataFrame:
+    """_OUT of references, of which table and period follow from the other columns, so they are not shuffled; and `more`."""
+    credit = F.col("src_field") == "artist_id"
+    source = F.when(credit, "catalog_track_artists").otherwise("collection_items")
+    period = F.when(credit, F.nullif(F.substring_index("scope", "/", -1), F.lit(""))).otherwise(F.date_format("at", "yyyy-MM"))
+    return rows.select(source.alias("src_table"), "src_field", period.alias("period"), "row_key", *more)
+
+
 def catalogue_references(artists: DataFrame, albums: DataFrame, tracks: DataFrame, credits: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All references of the catalogue and all that they may refer to, as (references, parents) with _KEYS.
 
-    References have `at` and _OUT besides. Credits look in their own instance and generation, items in the latest
+    References have `at` and row_key besides. Credits look in their own instance and generation, items in the latest
     generation of any instance. A credit without instance or generation finds no artist.
     """
     always = F.lit(_NEVER).cast("timestamp_ntz")
-    scope = F.concat("catalog_instance_id", F.lit("/"), "published_generation")
+    # the instance is never empty in a parent
+    scope = F.concat(F.coalesce("catalog_instance_id", F.lit("")), F.lit("/"), F.coalesce(F.col("published_generation").cast("string"), F.lit("")))
     credit = credits.where("artist_id is not null").select(
-        F.lit("catalog_track_artists").alias("src_table"),
         F.lit("artist_id").alias("src_field"),
-        F.coalesce(scope, F.lit("-")).alias("scope"),
+        scope.alias("scope"),
         F.col("artist_id").alias("ref_id"),
         always.alias("at"),
-        F.col("published_generation").cast("string").alias("period"),
         F.concat_ws("/", "catalog_instance_id", "published_generation", "track_id", "position", "role").alias("row_key"),
     )
     item = items.select("id", "added_at", F.expr("stack(2, 'track_id', track_id, 'provider_album_id', provider_album_id) AS (src_field, ref_id)")).where("ref_id is not null")
-    item = item.select(
-        F.lit("collection_items").alias("src_table"),
-        "src_field",
-        F.lit("").alias("scope"),
-        "ref_id",
-        F.col("added_at").alias("at"),
-        F.date_format("added_at", "yyyy-MM").alias("period"),
-        F.col("id").alias("row_key"),
-    )
-    parents = artists.select(F.lit("artist_id").alias("src_field"), scope.alias("scope"), F.col("artist_id").alias("ref_id"), F.when(F.col("available"), always).alias("since"), always.alias("seen"))
+    item = item.select("src_field", F.lit("").alias("scope"), "ref_id", F.col("added_at").alias("at"), F.col("id").alias("row_key"))
+    known = artists.where("catalog_instance_id is not null and published_generation is not null")
+    parents = known.select(F.lit("artist_id").alias("src_field"), scope.alias("scope"), F.col("artist_id").alias("ref_id"), F.when(F.col("available"), always).alias("since"), always.alias("seen"))
     for field, snapshot, key in (("track_id", tracks, "track_id"), ("provider_album_id", albums, "album_id")):
         parents = parents.unionByName(snapshot_parents(snapshot, key).select(F.lit(field).alias("src_field"), F.lit("").alias("scope"), "ref_id", "since", "seen"))
     return credit.unionByName(item), parents
@@ -133,11 +133,11 @@ def dangling_references(artists: DataFrame, albums: DataFrame, tracks: DataFrame
     available in the latest generation of any instance and was first seen by the time of `added_at`.
     """
     references, parents = catalogue_references(artists, albums, tracks, credits, items)
-    return orphan_rows(references, parents, _KEYS, [F.col("row_key")]).select(*_OUT).distinct()
+    return _described(orphan_rows(references, parents, _KEYS, [F.col("row_key")])).distinct()
 
 
 def dangling_report(artists: DataFrame, albums: DataFrame, tracks: DataFrame, credits: DataFrame, items: DataFrame) -> DataFrame:
     """Per table, field and period: distinct referring rows and those that dangle, counted in one pass."""
     references, parents = catalogue_references(artists, albums, tracks, credits, items)
-    rows = judged_rows(references, parents, _KEYS, [F.col("row_key")]).groupBy(*_OUT).agg(F.bool_or("__orphan").alias("__orphan"))
+    rows = _described(judged_rows(references, parents, _KEYS, [F.col("row_key")]), "__orphan").groupBy(*_OUT).agg(F.bool_or("__orphan").alias("__orphan"))
     return rows.groupBy(*_OUT[:3]).agg(F.count("*").alias("n_rows"), F.count_if("__orphan").alias("n_orphans"))
