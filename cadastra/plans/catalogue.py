@@ -160,7 +160,7 @@ def journal_page(spark, d):
 
 
 @query("""WITH e AS (SELECT catalog_instance_id, arg_max(epoch, generation) AS epoch FROM catalog_changes GROUP BY 1), h AS (SELECT catalog_instance_id, epoch, max(seq) AS head FROM catalog_changes JOIN e USING (catalog_instance_id, epoch) GROUP BY ALL),
-n AS (SELECT catalog_instance_id, count(DISTINCT entity_id) // 40 AS n FROM catalog_changes GROUP BY 1)
+n AS (SELECT catalog_instance_id, count(DISTINCT (entity_type, entity_id)) AS n FROM catalog_changes GROUP BY 1)
 SELECT DISTINCT c.catalog_instance_id, c.epoch, c.seq, c.entity_id FROM catalog_changes c JOIN h USING (catalog_instance_id, epoch) JOIN n USING (catalog_instance_id) WHERE c.seq > greatest(0, head - greatest(1000, 2 * n))""")
 def journal_compacted(spark, d):
     rows = table(spark, d, "catalog_changes")
@@ -347,15 +347,16 @@ def renumbered_items(spark, d):
     return with_group_position(rows, ["principal", "collection_id", "kind"], ["position", "id"], "place").withColumn("place", F.col("place") - 1).drop("position")
 
 
-@query("""WITH o AS (SELECT DISTINCT track_id, title, artist, album FROM collection_items WHERE track_id IS NOT NULL), t AS (SELECT track_id, min(duration_ms) AS duration_ms FROM catalog_tracks GROUP BY 1),
-j AS (SELECT album AS analysis_id, regexp_replace(lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g') AS ti, nullif(regexp_replace(lower(regexp_replace(coalesce(artist, ''), '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '') AS ar, duration_ms FROM o JOIN t USING (track_id) WHERE album IS NOT NULL),
-g AS (SELECT analysis_id, count(*) AS n, coalesce(max(duration_ms) - min(duration_ms) > 60000, false) AS duration_conflict, count(DISTINCT ti) > 1 AND count(DISTINCT ar) > 1 AS text_conflict, false AS recording_conflict FROM j GROUP BY 1 HAVING count(*) > 1)
-SELECT * FROM g WHERE duration_conflict OR text_conflict""")
+@query("""WITH o AS (SELECT DISTINCT track_id, title, artist, album FROM collection_items WHERE track_id IS NOT NULL), t AS (SELECT track_id, min(duration_ms) AS duration_ms, list_distinct(list(left(media_fp, 1)) FILTER (WHERE media_fp IS NOT NULL)) AS ids FROM catalog_tracks GROUP BY 1),
+j AS (SELECT album AS analysis_id, regexp_replace(lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g') AS ti, nullif(regexp_replace(lower(regexp_replace(coalesce(artist, ''), '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '') AS ar, duration_ms, coalesce(ids, []) AS ids FROM o JOIN t USING (track_id) WHERE album IS NOT NULL),
+w AS (SELECT analysis_id, max(n) AS most FROM (SELECT analysis_id, id, count(*) AS n FROM (SELECT analysis_id, unnest(ids) AS id FROM j) GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT analysis_id, count(*) AS n, coalesce(max(duration_ms) - min(duration_ms) > 3000, false) AS duration_conflict, count(DISTINCT ti) > 1 AND count(DISTINCT ar) > 1 AS text_conflict, count(*) FILTER (WHERE len(ids) > 0) AS known FROM j GROUP BY 1 HAVING count(*) > 1)
+SELECT analysis_id, n, duration_conflict, text_conflict, known > 1 AND coalesce(most < known, false) AS recording_conflict FROM g LEFT JOIN w USING (analysis_id) WHERE duration_conflict OR text_conflict OR recording_conflict""")
 def suspect_groups(spark, d):
+    """Items that name one album, as if it named one recording; first digits of media fingerprints stand for ids of recordings."""
     items = table(spark, d, "collection_items").where("track_id is not null").select("track_id", "title", "artist", "album").distinct()
-    length = table(spark, d, "catalog_tracks").groupBy("track_id").agg(F.min("duration_ms").alias("duration_ms"))
-    rows = items.join(length, "track_id").select(F.col("album").alias("analysis_id"), "title", "artist", "duration_ms", F.array().cast("array<string>").alias("recording_ids"))
-    return analysis.suspects(rows)
+    known = table(spark, d, "catalog_tracks").groupBy("track_id").agg(F.min("duration_ms").alias("duration_ms"), F.collect_set(F.left("media_fp", F.lit(1))).alias("recording_ids"))
+    return analysis.suspects(items.join(known, "track_id").select(F.col("album").alias("analysis_id"), "title", "artist", "duration_ms", "recording_ids"))
 
 
 @query("""SELECT analysis_id, n, CASE WHEN n = 1 THEN 'complete' WHEN have < n THEN 'pending' WHEN differ THEN 'disagreement' ELSE 'complete' END AS verdict FROM
@@ -392,17 +393,27 @@ _BASE62 = lambda n: " || ".join(f"substr({_DIGITS}, (({n}) // {62**k}::UHUGEINT
 _PLACES = lambda text: f"list_transform(string_split({text}, ''), lambda c: strpos({_DIGITS}, c))"
 
 
-@query(f"""WITH s AS (SELECT DISTINCT track_id, CASE WHEN NOT regexp_full_match(track_id, '[0-9A-Za-z]{{22}}') THEN CASE WHEN regexp_full_match(track_id, '[0-9a-fA-F]{{32}}') THEN 'hex32' WHEN regexp_full_match(track_id, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') THEN 'uuid' ELSE 'unrecognized' END
-  WHEN {_PLACES('track_id')} <= {_PLACES("'7N42dgm5tFLK9N8MT7fHC7'")} THEN 'base62_128' ELSE 'base62_overflow' END AS shape FROM catalog_tracks),
-n AS (SELECT *, CASE WHEN shape = 'base62_overflow' THEN {_NUMBER('md5(track_id)', 16)} WHEN shape IN ('hex32', 'uuid') THEN {_NUMBER("lower(replace(track_id, '-', ''))", 16)} END AS n FROM s),
-v AS (SELECT track_id, shape, CASE WHEN n IS NULL THEN track_id ELSE {_BASE62('n')} END AS value FROM n)
-SELECT track_id, value, shape <> 'unrecognized' AS recognized, value <> track_id AS changed, shape FROM v""")
+def _canonical(source: str, column: str) -> str:
+    """CTE v: `column` of a relation, its canonical value and its shape."""
+    return f"""s AS (SELECT DISTINCT {column}, CASE WHEN NOT regexp_full_match({column}, '[0-9A-Za-z]{{22}}') THEN CASE WHEN regexp_full_match({column}, '[0-9a-fA-F]{{32}}') THEN 'hex32' WHEN regexp_full_match({column}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') THEN 'uuid' ELSE 'unrecognized' END
+  WHEN {_PLACES(column)} <= {_PLACES("'7N42dgm5tFLK9N8MT7fHC7'")} THEN 'base62_128' ELSE 'base62_overflow' END AS shape FROM {source}),
+n AS (SELECT *, CASE WHEN shape = 'base62_overflow' THEN {_NUMBER(f'md5({column})', 16)} WHEN shape IN ('hex32', 'uuid') THEN {_NUMBER(f"lower(replace({column}, '-', ''))", 16)} END AS n FROM s),
+v AS (SELECT {column}, shape, CASE WHEN n IS NULL THEN {column} ELSE {_BASE62('n')} END AS value FROM n)"""
+
+
+@query(f"WITH {_canonical('catalog_tracks', 'track_id')} SELECT track_id, value, shape <> 'unrecognized' AS recognized, value <> track_id AS changed, shape FROM v")
 def canonical_ids(spark, d):
     rows = table(spark, d, "catalog_tracks").select("track_id").distinct()
     return rows.select("track_id", identity.canonical_id(F.col("track_id")).alias("c")).select("track_id", "c.*")
 
 
-@query()
+@query(f"""WITH {_canonical('catalog_scan_entities', 'entity_id')}, was AS (SELECT entity_type, entity_id, max(metadata_fp) AS fp FROM catalog_scan_entities GROUP BY 1, 2),
+now_ AS (SELECT entity_type, CASE WHEN entity_type = 'library' THEN entity_id ELSE value END AS entity_id, max(fp) AS fp FROM was JOIN v USING (entity_id) GROUP BY 1, 2),
+moves AS (SELECT entity_type, entity_id AS old_id, value AS entity_id FROM was JOIN v USING (entity_id) WHERE entity_type <> 'library' AND shape <> 'unrecognized' AND value <> entity_id),
+claims AS (SELECT entity_type, entity_id, count(*) AS n, min(old_id) AS old_id FROM moves GROUP BY 1, 2), gone AS (SELECT entity_type, old_id AS entity_id, true AS moved FROM moves),
+state AS (SELECT entity_type, entity_id, n, old_id, moved, w.entity_id IS NOT NULL AS before, x.entity_id IS NOT NULL AS after, w.fp IS NOT DISTINCT FROM x.fp AS same FROM was w FULL JOIN now_ x USING (entity_type, entity_id) LEFT JOIN claims USING (entity_type, entity_id) LEFT JOIN gone USING (entity_type, entity_id)),
+plan AS (SELECT *, CASE WHEN n > 1 OR (n IS NOT NULL AND before) THEN 'conflict' WHEN n = 1 THEN 'rekey' WHEN before AND after AND same THEN 'unchanged' WHEN after THEN 'upsert' WHEN moved IS NULL THEN 'delete' END AS operation FROM state)
+SELECT entity_type, entity_id, operation, CASE WHEN operation = 'rekey' THEN old_id END AS old_entity_id FROM plan WHERE operation IS NOT NULL""")
 def rekey_plan(spark, d):
     """The plan for a catalogue whose ids all took their canonical form."""
     old = table(spark, d, "catalog_scan_entities").select("entity_type", "entity_id", "metadata_fp")

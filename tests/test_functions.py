@@ -52,7 +52,7 @@ def test_vectors(spark):
 def test_suspect_groups_take_the_tolerance_of_one_recording(spark, tmp_path):
     items = [("a", "Song", "One", "near"), ("b", "Song", "One", "near"), ("c", "Song", "One", "far"), ("d", "Song", "One", "far")]
     spark.createDataFrame(items, "track_id string, title string, artist string, album string").write.parquet(str(tmp_path / "collection_items.parquet"))
-    spark.createDataFrame([("a", 100_000), ("b", 103_000), ("c", 100_000), ("d", 103_001)], "track_id string, duration_ms bigint").write.parquet(str(tmp_path / "catalog_tracks.parquet"))
+    spark.createDataFrame([("a", 100_000, None), ("b", 103_000, None), ("c", 100_000, "x1"), ("d", 103_001, "x2")], "track_id string, duration_ms bigint, media_fp string").write.parquet(str(tmp_path / "catalog_tracks.parquet"))
     assert [r["analysis_id"] for r in QUERIES["suspect_groups"](spark, str(tmp_path)).collect()] == ["far"]
 
 
