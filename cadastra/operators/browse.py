@@ -14,13 +14,13 @@ def track_view(tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """Available tracks of each instance's latest generation with their album, if that is available.
 
     Repeated rows count once. The album's name is NULL where the album is gone, and the track stays: its availability is a
-    condition of the join. Instances are few and uneven: their generation is copied to salts.
+    condition of the join. Instances are few and uneven and an album may be large: both are joined with salts.
     """
     scope = ["catalog_instance_id", "published_generation"]
     latest = tracks.groupBy("catalog_instance_id").agg(F.max("published_generation").alias("published_generation"))
     now = salted_join(tracks.where("available").select(*scope, "track_id", "album_id", "title", "artist_display", "album_artist_display", "disc_number", "track_number", "duration_ms", "cover_art_id"), latest, scope, [F.col("track_id")]).distinct()
     named = albums.where("available").groupBy(*scope, "album_id").agg(F.min("name").alias("album"), F.min("album_artist_display").alias("__album_artist"))
-    view = now.join(named, [*scope, "album_id"], "left")
+    view = salted_join(now, named, [*scope, "album_id"], [F.col("track_id")], "left_outer")
     return view.select("catalog_instance_id", "track_id", "album_id", "title", F.col("artist_display").alias("artist"), F.coalesce("album_artist_display", "__album_artist", "artist_display").alias("album_artist"), "album", "disc_number", "track_number", "duration_ms", "cover_art_id")
 
 
