@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.session import salted_join, shuffle_partitions
+from cadastra.session import salted_join, shuffle_partitions, sized_join
 
 #: Buckets of the key space for each shuffle partition; more buckets mean smaller windows.
 BUCKETS_PER_PARTITION = 16
@@ -67,11 +67,11 @@ def judged_rows(references: DataFrame, parents: DataFrame, keys: list[str], spre
 
     See orphan_keys for `references`, `parents` and `keys`. `spread` names what tells the rows of one key apart: hot keys
     are cut by its hash. A key that fails at its earliest reference may be there for later ones, which an exact
-    comparison of times decides. Repeated rows come out as often as they come in; NULL keys are no orphans.
+    comparison of times decides. The failing keys are found when this is called. Repeated rows come out as often as they come in; NULL keys are no orphans.
     """
     verdict = orphan_keys(references, parents, keys).select(*keys, F.col("since").alias("__since"), F.lit(True).alias("__late"))
     orphan = F.col("__late") & (F.col("__since").isNull() | F.col("at").isNull() | (F.col("at") < F.col("__since")))
-    return salted_join(references, verdict, keys, spread, "left_outer").select(*references.columns, F.coalesce(orphan, F.lit(False)).alias("__orphan"))
+    return sized_join(references, verdict, keys, spread, "left_outer").select(*references.columns, F.coalesce(orphan, F.lit(False)).alias("__orphan"))
 
 
 def orphan_rows(references: DataFrame, parents: DataFrame, keys: list[str], spread: list[Column]) -> DataFrame:

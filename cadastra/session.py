@@ -1,8 +1,10 @@
 """Session set-up, reliable checkpoints and skew-proof joins."""
 
+import operator
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Least and most parts of a key in salted_join; in between, one for every SHARE shuffle partitions.
 FEWEST_SALTS, MOST_SALTS, SHARE = 8, 128, 8
+#: Most bytes of a side that is broadcast after it was measured.
+BROADCAST_BYTES = 8 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "cadastra", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -115,3 +119,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[Co
     left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[Column], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """`big` joined with `small` on `on`; `small` is computed first and broadcast if it has at most `most` bytes, else the join is salted.
+
+    So `big` is not shuffled where few keys are asked for. Runs a job when called. how: inner or left_outer.
+    """
+    kept = checkpointed(small)
+    row = reduce(operator.add, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in kept.columns], F.lit(8 * len(kept.columns)))
+    size = kept.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+    return big.join(F.broadcast(kept), on, how) if size <= most else salted_join(big, kept, on, spread, how)
