@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.session import checkpointed, salted_join, shuffle_partitions
+from cadastra.session import checkpointed, salted_join, shuffle_partitions, sized_join
 
 #: Tries for each shuffle partition; more tries are smaller.
 TRIES_PER_PARTITION = 4
@@ -350,9 +350,9 @@ def affected_rows(values: DataFrame, budget: int = 0) -> DataFrame:
 
     One value may be in a third of the rows: values are made distinct by partial aggregation, and the rows that hold
     anything but printable ASCII and breaks, or no Latin letter that shows its script, are joined to the affected
-    values with salts. Repeated rows stay repeated.
+    values, which are broadcast if they are few and else joined with salts. Repeated rows stay repeated.
     """
     changed = consistent_values(values, budget)
     shows = "".join(ch for ch in map(chr, range(128)) if told(ch)[1])
     rows = values.where(F.col("value").rlike(r"[^\t\n\x0b\x0c\r -~]") | ~F.col("value").rlike(f"[{shows}]"))
-    return salted_join(rows, changed, ["value"], [F.col("row_key")]).select("src_table", "src_field", "row_key", "value", "canonical", "cause")
+    return sized_join(rows, changed, ["value"], [F.col("row_key")]).select("src_table", "src_field", "row_key", "value", "canonical", "cause")
