@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.copies import RANGE_SEGMENTS, SEGMENT_BITS, Range, filter_segments, n_segments
-from cadastra.session import checkpointed, salted_join, salts, spread
+from cadastra.session import checkpointed, salted_join, salts, sized_join, spread
 
 #: Contexts of a token, from the most to the least specific: the words before it with its class, or with itself.
 LEVELS = 5
@@ -437,12 +437,12 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     limits = field_limits(texts, by).withColumn("__source", named)
     by_unit = limits.groupBy("__source").agg(*[F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"limit_{u}") for u in ("chars", "bytes")])
     at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce((F.col("n_bytes") - F.col("limit_bytes")).between(-3, 2), F.lit(False))
-    # sources are few and any may be hot: their limits are copied to every salt
-    limited = salted_join(texts, by_unit, ["__source"], [F.col("text_key")], "left_outer")
+    # sources are few and any may be hot: their limits go to all texts
+    limited = sized_join(texts, by_unit, ["__source"], [F.col("text_key")], "left_outer")
     words = looked_up.select(F.col("word").alias("last"), F.col("n").alias("own_n"), "longest_n")
     partial = F.coalesce((F.col("ending") == "word") & (F.col("longest_n") > 0) & (F.col("own_n") * by.rare <= F.col("longest_n")), F.lit(False))
     doubtful = F.col("ending").isin("broken", "open structure") | (F.col("ending").isin("word", "other") & (F.col("partial") | F.col("at_limit")))
-    spelled = salted_join(limited.withColumn("at_limit", at_limit), words, ["last"], [F.col("text_key")], "left_outer")
+    spelled = sized_join(limited.withColumn("at_limit", at_limit), words, ["last"], [F.col("text_key")], "left_outer")
     flagged = checkpointed(spelled.withColumn("partial", partial).withColumn("doubtful", doubtful))
 
     different = flagged.groupBy("text_key", "ending", "contexts").agg(F.bool_or("doubtful").alias("any_doubtful"))
@@ -456,7 +456,7 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
 
     judged = flagged.join(levelled, "text_key", "left").withColumn("evidence", _verdict(by)).where("evidence is not null").select("text_key", "__source", "evidence")
     rows = ends.where("last is not null").withColumn("__source", named)
-    found = salted_join(rows, judged, ["text_key", "__source"], [F.col("doc")])
+    found = sized_join(rows, judged, ["text_key", "__source"], [F.col("doc")])
     return found.select(F.col("doc").alias(doc_id), F.col("source").alias(source), "evidence")
 
 
