@@ -74,3 +74,24 @@ def json_fingerprint(text: Column) -> Column:
     """SHA-256 (hex) of the canonical form of a JSON text."""
     return F.sha2(canonical_json(text), 256)
 
+
+def _unordered(value, names: frozenset[str], name: str = ""):
+    """A JSON value in which the lists under these names (in any case) are in the order of their canonical forms."""
+    match value:
+        case dict():
+            return {k: _unordered(v, names, str(k)) for k, v in value.items()}
+        case list():
+            items = [_unordered(v, names) for v in value]
+            return sorted(items, key=canonical) if name.casefold() in names else items
+    return value
+
+
+def unordered_json(text: Column, *names: str) -> Column:
+    """canonical_json in which the order of the lists under these names means nothing."""
+    chosen = frozenset(n.casefold() for n in names)
+
+    @F.pandas_udf(StringType())
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if (v := _parsed(t)) is None else canonical(_unordered(v, chosen)))
+
+    return form(text)

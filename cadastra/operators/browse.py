@@ -92,3 +92,15 @@ def album_tracks(view: DataFrame, album: str, album_artist: str) -> DataFrame:
     """Tracks of an album by disc (none is 1), number (none is last) and id."""
     own = view.where((F.col("album") == album) & (F.col("album_artist") == album_artist))
     return own.select("track_id", "title", "disc_number", "track_number", "duration_ms").orderBy(F.coalesce(F.nullif(F.col("disc_number"), F.lit(0)), F.lit(1)), F.coalesce("track_number", F.lit(1_000_000)), "track_id")
+
+
+def collection_counts(collections: DataFrame, items: DataFrame) -> DataFrame:
+    """principal, collection_id, n_tracks, n_albums, updated_at of every collection, also of those without items.
+
+    Repeated items (one id) count once; items are counted before they meet their collections, so a collection may be of any size.
+    """
+    keys = ["principal", "collection_id"]
+    kinds = [F.count_if(F.col("kind") == kind).alias(name) for kind, name in (("track", "n_tracks"), ("album", "n_albums"))]
+    counted = items.select(*keys, "id", "kind", "updated_at").distinct().groupBy(*keys).agg(*kinds, F.max("updated_at").alias("updated_at"))
+    both = collections.select(*keys).distinct().join(counted, keys, "left")
+    return both.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tracks", "n_albums")], "updated_at")

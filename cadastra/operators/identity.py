@@ -1,12 +1,15 @@
 """Ids of several shapes: the canonical 22-character form, server versions, and re-keying a catalogue."""
 
 import hashlib
+import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+
+from cadastra.session import salted_join
 
 # Digits of base 62, the last release that still had other ids, and the shapes of ids and of version texts.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -123,3 +126,72 @@ def rekey_plan(old: DataFrame, new: DataFrame, compared: list[str], library: str
     )
     out = state.withColumn("operation", operation).where("operation is not null")
     return out.select("entity_type", "entity_id", "operation", F.when(F.col("operation") == "rekey", F.col("old_entity_id")).alias("old_entity_id"))
+
+
+def _names(value) -> set[str]:
+    """All texts of a JSON value: members' names and values that are texts."""
+    match value:
+        case str():
+            return {value}
+        case list():
+            return set().union(*map(_names, value))
+        case dict():
+            return set(value).union(*map(_names, value.values()))
+    return set()
+
+
+def _exchanged(value, new: dict[str, str]):
+    """A JSON value with whole texts exchanged; two members that come to one name are an error."""
+    match value:
+        case str():
+            return new.get(value, value)
+        case list():
+            return [_exchanged(v, new) for v in value]
+        case dict():
+            out = {new.get(k, k): _exchanged(v, new) for k, v in value.items()}
+            if len(out) < len(value):
+                raise KeyError("two members of one name")
+            return out
+    return value
+
+
+def _loaded(text: str | None):
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _texts_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sorted(_names(_loaded(t))))
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("collides", BooleanType())]))
+def _with_new_ids(texts: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, a, b in zip(texts, old, new):
+        value = _loaded(text)
+        try:
+            rows.append((text if value is None or a is None or not len(a) else json.dumps(_exchanged(value, dict(zip(a, b))), ensure_ascii=False, separators=(",", ":")), False))
+        except KeyError:
+            rows.append((None, True))
+    return pd.DataFrame(rows, columns=["text", "collides"])
+
+
+def rewritten_json(rows: DataFrame, key: str, text: str, mapping: DataFrame) -> DataFrame:
+    """`key`, text, collides: JSON texts in which every member name and value that is an old id as a whole is the new one; parts of texts stay.
+
+    rows: `key` (distinct, not NULL), `text`. mapping: old_id, new_id. An old id with several new ones is an error. Where two
+    members come to one name, text is NULL and collides is true. NULL and what is no JSON stays as it is. The texts' own strings are joined
+    with the mapping by salts, so the mapping may have any size; a row gets only the ids that it holds.
+    """
+    one = mapping.where("old_id is not null and new_id is not null").groupBy("old_id").agg(F.min("new_id").alias("new_id"), (F.min("new_id") != F.max("new_id")).alias("__several"))
+    if one.where("__several").limit(1).count():
+        raise ValueError("an id has several new ids")
+    held = rows.select(F.col(key).alias("__key"), F.explode(_texts_of(F.col(text))).alias("old_id"))
+    met = salted_join(held, one.drop("__several"), ["old_id"], [F.col("__key")])
+    found = met.groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("old_id", "new_id"))).alias("__ids"))
+    both = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(found, "__key", "left")
+    done = both.withColumn("__new", _with_new_ids(F.col("__text"), F.col("__ids.old_id"), F.col("__ids.new_id")))
+    return done.select(F.col("__key").alias(key), "__new.text", "__new.collides")

@@ -261,8 +261,8 @@ def fit_lists(vectors: DataFrame, rounds: int = 8) -> dict[int, np.ndarray]:
     counts = {r["__dim"]: r["n"] for r in vectors.groupBy("__dim").agg(F.count("*").alias("n")).collect()}
     lists = {}
     for dimension, n in counts.items():
-        rows = vectors.where(F.col("__dim") == dimension).orderBy(F.xxhash64("id")).limit(FITTED).select("embedding").collect()
-        sample = _unit(np.array([r[0] for r in rows], np.float64))
+        rows = vectors.where(F.col("__dim") == dimension).orderBy(F.xxhash64("id")).limit(FITTED).select("embedding").toArrow()
+        sample = _unit(rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).astype(np.float64))
         centres = sample[: max(1, min(MOST_LISTS, round(n**0.5), len(sample)))].copy()
         for _ in range(rounds):
             own = np.argmax(sample @ centres.T, axis=1)

@@ -341,6 +341,14 @@ def collection_counts(spark, d):
     return items.groupBy("principal", "collection_id").agg(F.count_if(F.col("kind") == "track").alias("n_tracks"), F.count_if(F.col("kind") == "album").alias("n_albums"), F.max("updated_at").alias("updated_at"))
 
 
+@query("""WITH i AS (SELECT DISTINCT principal, collection_id, id, kind, updated_at, title FROM collection_items), c AS (SELECT DISTINCT principal, collection_id FROM i), r AS (SELECT * FROM i WHERE title IS NULL)
+SELECT c.principal, c.collection_id, count(r.id) FILTER (WHERE kind = 'track') AS n_tracks, count(r.id) FILTER (WHERE kind = 'album') AS n_albums, max(updated_at) AS updated_at FROM c LEFT JOIN r ON c.principal = r.principal AND c.collection_id = r.collection_id GROUP BY 1, 2""")
+def untitled_counts(spark, d):
+    """All collections with their items that have no title; many have none."""
+    items = table(spark, d, "collection_items")
+    return browse.collection_counts(items, items.where("title is null"))
+
+
 @query("SELECT principal, collection_id, kind, id, row_number() OVER (PARTITION BY principal, collection_id, kind ORDER BY position, id) - 1 AS place FROM (SELECT DISTINCT principal, collection_id, kind, id, position FROM collection_items)")
 def renumbered_items(spark, d):
     rows = table(spark, d, "collection_items").select("principal", "collection_id", "kind", "id", "position").distinct()

@@ -67,3 +67,22 @@ def test_plan(spark):
     assert len(got) == 9
     both = [("track", "0" * 32, "a"), ("track", "00000000-0000-0000-0000-000000000000", "a")]
     assert i.rekey_plan(rows(both), rows([("track", "0" * 22, "a")]), ["fp"]).where("operation = 'conflict'").count() == 1
+
+
+def test_ids_inside_json_are_exchanged_as_a_whole(spark):
+    texts = {1: '{"a":"old1","old2":["old1","xold1",{"b":"old3"}],"n":1.5}', 2: '{"old1":1,"new1":2}', 3: "no json", 4: None, 5: '"old2"', 6: '{"é":"plain"}', 7: '{"old1":1,"old2":"new1"}'}
+    rows = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "k int, body string, old_id string").repartition(3)
+    mapping = spark.createDataFrame([("old1", "new1"), ("old2", "new2"), ("old1", "new1"), (None, "z"), ("old9", None)], "old_id string, new_id string")
+    got = {r["k"]: (r["text"], r["collides"]) for r in i.rewritten_json(rows, "k", "body", mapping).collect()}
+    assert got == {1: ('{"a":"new1","new2":["new1","xold1",{"b":"old3"}],"n":1.5}', False), 2: (None, True), 3: ("no json", False), 4: (None, False), 5: ('"new2"', False), 6: ('{"é":"plain"}', False), 7: ('{"new1":1,"new2":"new1"}', False)}
+    assert i.rewritten_json(rows.where("false"), "k", "body", mapping).count() == 0
+    with pytest.raises(ValueError):
+        i.rewritten_json(rows, "k", "body", mapping.union(spark.createDataFrame([("old1", "other")], "old_id string, new_id string")))
+
+
+def test_order_of_contributors_means_nothing(spark):
+    from cadastra.functions.canonical import unordered_json
+
+    rows = spark.createDataFrame([('{"Contributors":[{"id":2},{"id":1}],"discs":[2,1]}',), ('{"discs":[2,1],"Contributors":[{"id":1},{"id":2}]}',), ('{"Contributors":[{"id":1},{"id":2}],"discs":[1,2]}',), (None,)], "v string")
+    got = [r["f"] for r in rows.select(unordered_json(F.col("v"), "contributors").alias("f")).collect()]
+    assert got == ['{"Contributors":[{"id":1},{"id":2}],"discs":[2,1]}'] * 2 + ['{"Contributors":[{"id":1},{"id":2}],"discs":[1,2]}', None]
