@@ -64,3 +64,11 @@ def test_whole_words_of_the_test_documents(spark):
 def test_path_is_a_parameter(tmp_path):
     (tmp_path / "v").write_bytes(b"YQ== 0\n")
     assert tokens.read_ranks(os.fspath(tmp_path / "v")) == b"YQ== 0\n"
+
+
+def test_a_long_word_that_fills_the_corpus(spark):
+    rule, indent = "-" * 100, "\n" + " " * 200
+    texts = [f"{rule}{indent}{'x' * 90} {i}{rule}" for i in range(300)] + [None, rule]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_corpus(df).collect()}
+    assert [got[i] for i in range(len(texts))] == expected(texts)
